@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priceatlas.llm import language_id, toxicity
 from priceatlas.llm.chat_format import events_of, format_chats, read_back
+from priceatlas.llm.near_dedup import near_duplicates
+from priceatlas.llm.pack import pack_documents
 from priceatlas.llm.shard import balanced_shards
 from priceatlas.llm.source_mix import poisson_mix
 from priceatlas.llm.topk import exact_topk
@@ -71,6 +74,33 @@ def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked")
 
 
+def op5_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def fold(folds: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo folds; a null id is in no fold."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on labels outside the held-out third; 0.7 is the threshold of predicted."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(3) != 1)
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).withColumnRenamed("id", "doc_id")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs, fold(5) != 0), ["doc_id"])
+    return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -88,6 +118,10 @@ QUERIES = {
     "op2_poisson_mix": op2_poisson_mix,
     "op3_chat_format": op3_chat_format,
     "op4_balanced_shards": op4_balanced_shards,
+    "op5_vector_pack": op5_vector_pack,
+    "op6_toxicity": op6_toxicity,
+    "op7_lsh_forest": op7_lsh_forest,
+    "op8_language": op8_language,
     "op10_norm_buckets": op10_norm_buckets,
 }
 SQL = {"op2_poisson_mix": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_norm_buckets": OP10_SQL}
