@@ -24,7 +24,7 @@ POOL_PIECES = 6_000
 #: Share of a sequence that may stay empty before a piece is cut.
 SLACK = 0.02
 #: Cached words of a worker; the cache begins anew beyond.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 #: A comma or full stop after a letter is a token of its own, so it can be split off before words are looked up.
 _STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
 
