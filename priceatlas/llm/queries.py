@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceatlas.llm import language_id, toxicity
+from priceatlas.llm.audio_match import fingerprints, match, melodies
 from priceatlas.llm.chat_format import events_of, format_chats, read_back
+from priceatlas.llm.html_extract import extract_main_text
 from priceatlas.llm.near_dedup import near_duplicates
 from priceatlas.llm.pack import pack_documents
 from priceatlas.llm.shard import balanced_shards
@@ -18,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources at the square root of their size, as many rows out as in on average; globally shuffled."""
     mixed = poisson_mix(table(spark, sf_dir, "documents"))
@@ -101,6 +108,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_audio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so each vector is rendered as a recording; queries are the rows whose id is divisible by 50."""
+    return match(fingerprints(melodies(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")), F.col("id") % 50 == 0)
+
+
 def op10_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -115,6 +127,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 QUERIES = {
+    "op1_site_templates": op1_site_templates,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_chat_format": op3_chat_format,
     "op4_balanced_shards": op4_balanced_shards,
@@ -122,6 +135,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_lsh_forest": op7_lsh_forest,
     "op8_language": op8_language,
+    "op9_audio_match": op9_audio_match,
     "op10_norm_buckets": op10_norm_buckets,
 }
 SQL = {"op2_poisson_mix": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_norm_buckets": OP10_SQL}
