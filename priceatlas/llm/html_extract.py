@@ -111,7 +111,7 @@ def parse(text: str) -> tuple[Node, list[Node]]:
             close(node)
     if end < len(text):
         at.kids.append(entities.unescape(text[end:]))
-    up_to(root)
+    close(up_to(root))
     return root, order
 
 
