@@ -143,3 +143,28 @@ def round2_sql(e: str) -> str:
 
 def contains_all(text: Column, terms: list[Column]) -> Column:
     return reduce(lambda a, t: a & text.contains(t), terms, F.lit(True))
+
+
+def slug(c: Column) -> Column:
+    """Lower-case letters and digits joined by single hyphens, for file names."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def slug_sql(e: str) -> str:
+    return f"trim(regexp_replace(lower({e}), '[^a-z0-9]+', '-', 'g'), '-')"
+
+
+def format_inr(c: Column) -> Column:
+    """Rupees with two decimals and Indian grouping: three digits, then pairs (12,34,567.80). Null stays null."""
+    paise = F.floor(F.abs(c) * 100 + 0.5).cast("long")
+    whole = F.floor(paise / 100).cast("long").cast("string")
+    head = F.reverse(F.trim(F.regexp_replace(F.reverse(F.substring(whole, F.lit(1), F.length(whole) - 3)), "([0-9]{2})", "$1,"), F.lit(",")))
+    grouped = F.when(F.length(whole) <= 3, whole).otherwise(F.concat(head, F.lit(","), F.right(whole, F.lit(3))))
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.lit("₹"), grouped, F.lit("."), F.lpad((paise % 100).cast("string"), 2, "0"))
+
+
+def format_inr_sql(e: str) -> str:
+    paise = f"CAST(floor(abs({e}) * 100 + 0.5) AS BIGINT)"
+    whole = f"CAST({paise} // 100 AS VARCHAR)"
+    head = f"reverse(trim(regexp_replace(reverse(substr({whole}, 1, length({whole}) - 3)), '([0-9][0-9])', '\\1,', 'g'), ','))"
+    return f"(CASE WHEN {e} < 0 THEN '-' ELSE '' END || '₹' || CASE WHEN length({whole}) <= 3 THEN {whole} ELSE {head} || ',' || right({whole}, 3) END || '.' || lpad(CAST({paise} % 100 AS VARCHAR), 2, '0'))"

@@ -6,8 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from priceatlas.functions.text import normalize_n1, trigrams, unique_text
-from priceatlas.operators import quotes, search
+from priceatlas.functions.text import format_inr, normalize_n1, trigrams, unique_text
+from priceatlas.operators import catalogue, quotes, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,13 +16,13 @@ def rows(frame):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame)
 
 
-@pytest.mark.parametrize("name", [*quotes.QUERIES, *search.QUERIES])
+@pytest.mark.parametrize("name", [*quotes.QUERIES, *search.QUERIES, *catalogue.QUERIES])
 def test_query_equals_sql(spark, name):
-    found = {**quotes.QUERIES, **search.QUERIES}[name](spark, SF)
+    found = {**quotes.QUERIES, **search.QUERIES, **catalogue.QUERIES}[name](spark, SF)
     c = duckdb.connect()
     for t in os.listdir(SF):
         c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF}/{t}')")
-    sql = {**quotes.SQL, **search.SQL}[name]
+    sql = {**quotes.SQL, **search.SQL, **catalogue.SQL}[name]
     columns = sorted(found.columns)
     want = c.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     assert rows(tuple(r) for r in found.select(*columns).collect()) == rows(want)
@@ -39,3 +39,8 @@ def test_normalization(spark, text, want):
 def test_lists(spark):
     row = spark.range(1).select(unique_text(F.array(F.lit(" A  b"), F.lit("a b"), F.lit(None), F.lit("c"))), F.sort_array(trigrams(F.lit("cat"))), trigrams(F.lit(""))).first()
     assert list(row[0]) == ["A b", "c"] and list(row[1]) == ["  c", " ca", "at ", "cat"] and list(row[2]) == []
+
+
+@pytest.mark.parametrize(("value", "want"), [(0.0, "₹0.00"), (999.5, "₹999.50"), (1000.0, "₹1,000.00"), (1234567.8, "₹12,34,567.80"), (-100000.0, "-₹1,00,000.00"), (None, None)])
+def test_rupees(spark, value, want):
+    assert spark.range(1).select(format_inr(F.lit(value).cast("double"))).first()[0] == want
