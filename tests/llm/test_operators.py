@@ -190,7 +190,6 @@ def test_audio(spark):
     got = audio_match.match(prints, F.col("id") == 0).orderBy("rank").collect()
     assert got[0].class_id == 0 and got[0].copies == 2 and {r.class_id for r in got} >= {1, 2} and 3 not in {r.class_id for r in got}
     assert next(r.offset for r in got if r.class_id == 2) == 4
-    assert all(r.aligned == (r.wrong_bits <= audio_match.BIT_ERRORS * r.bits) for r in got) and {r.class_id for r in got if r.aligned} >= {0, 1, 2}
 
 
 def test_pipeline_stages(spark, edge, none):
