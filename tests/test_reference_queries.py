@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceatlas.functions.text import format_inr, normalize_n1, trigrams, unique_text
-from priceatlas.operators import catalogue, quotes, search
+from priceatlas.operators import catalogue, engine, ingest, quotes, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,13 +16,16 @@ def rows(frame):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame)
 
 
-@pytest.mark.parametrize("name", [*quotes.QUERIES, *search.QUERIES, *catalogue.QUERIES])
+MODULES = [quotes, search, catalogue, ingest, engine]
+
+
+@pytest.mark.parametrize("name", [n for m in MODULES for n in m.SQL])
 def test_query_equals_sql(spark, name):
-    found = {**quotes.QUERIES, **search.QUERIES, **catalogue.QUERIES}[name](spark, SF)
+    found = {k: q for m in MODULES for k, q in m.QUERIES.items()}[name](spark, SF)
     c = duckdb.connect()
     for t in os.listdir(SF):
         c.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF}/{t}')")
-    sql = {**quotes.SQL, **search.SQL, **catalogue.SQL}[name]
+    sql = {k: q for m in MODULES for k, q in m.SQL.items()}[name]
     columns = sorted(found.columns)
     want = c.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     assert rows(tuple(r) for r in found.select(*columns).collect()) == rows(want)
