@@ -112,7 +112,7 @@ def match(prints: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
 
 #: Melodies of vectors: notes of NOTE samples at RATE.
-RATE, NOTE, NOTES = 4096, 512, 32
+RATE, NOTE = 4096, 512
 
 
 def _melody_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _melody_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(vectors), 64):
             audio = []
             for v in vectors[at : at + 64]:
-                x = np.nan_to_num(np.array([c or 0.0 for c in (v or [])[:NOTES]], float), posinf=0, neginf=0)
+                x = np.nan_to_num(np.array([c or 0.0 for c in v or []], float), posinf=0, neginf=0)
                 audio.append(tones[np.floor(np.clip(x, -1, 1) * 60).astype(int) % 36].tobytes())
             yield pa.RecordBatch.from_pydict({"id": b.column("id").slice(at, 64), "audio": pa.array(audio, pa.binary()), "rate": pa.array([RATE] * len(audio), pa.int32())})
 

@@ -192,6 +192,17 @@ def test_audio(spark):
     assert next(r.offset for r in got if r.class_id == 2) == 4
 
 
+def test_melodies_sound_every_component(spark):
+    rng = np.random.default_rng(4)
+    a = [float(x) for x in rng.uniform(-1, 1, 64)]
+    rows = [(0, a), (1, a[:32] + [float(x) for x in rng.uniform(-1, 1, 32)]), (2, [float(x) for x in rng.uniform(-1, 1, 32)] + a[32:])]
+    audio = audio_match.melodies(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert {len(r.audio) for r in audio.collect()} == {64 * audio_match.NOTE * 2}
+    prints = audio_match.fingerprints(audio)
+    assert len({tuple(r.print) for r in prints.collect()}) == 3
+    assert 2 in {r.class_id for r in audio_match.match(prints, F.col("id") == 0).collect()}  # alike in the second half only
+
+
 def test_pipeline_stages(spark, edge, none):
     import corpus_pipeline as p
 
