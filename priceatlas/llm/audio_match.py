@@ -2,7 +2,7 @@
 
 A recording's short-time spectra are folded into twelve pitch classes; filters over an integral image of those frames give sixteen
 2-bit values, packed (Gray code) into one integer per position. Recordings with the same integers form one class. A query meets the
-classes that share an integer with it; the offsets of shared integers form a histogram, and bit errors at its highest offset decide.
+classes that share an integer with it; the offsets of shared integers form a histogram, and bit errors at each of its offsets decide.
 """
 
 from __future__ import annotations
@@ -87,28 +87,33 @@ def fingerprints(recordings: DataFrame, id_col: str = "id", audio_col: str = "au
     return rows.mapInArrow(_fingerprint_task, "id long, print array<long>")
 
 
-def match(prints: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, class_id, copies, offset, votes, bits, wrong_bits: for each query (over id), the k best aligned classes of other recordings.
+def match(prints: DataFrame, is_query: Column) -> DataFrame:
+    """query_id, rank, class_id, copies, offset, votes, bits, wrong_bits: for each query (over id), every aligned class of other recordings.
 
-    A class is named by its smallest id and has copies recordings; a query's own class shows if it has another member. Best: smallest
+    A class is named by its smallest id and has copies recordings; a query's own class shows if it has another member. All offsets in a
+    class's histogram with an overlap of LEAST or more are tested; of those that align, the one with most votes is given. Rank: smallest
     share of wrong bits, then more bits, then smaller class_id. Null ids and empty prints take no part; repeated rows count as copies.
     """
     prints = materialize(prints.where("id is not null and size(print) > 0"), "prints")
     classes = materialize(prints.groupBy("print").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "print-classes")
     asked = prints.where(is_query).select(F.col("id").alias("query_id"), "print").distinct()
-    posts = classes.select("class_id", F.posexplode("print").alias("at", "value"))
-    wanted = asked.select("query_id", F.posexplode("print").alias("q_at", "value"))
-    votes = posts.join(wanted, "value").groupBy("query_id", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query_id", "class_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("b")).select("query_id", "class_id", "b.votes", "b.offset")
-    both = best.join(asked.withColumnRenamed("print", "q"), "query_id").join(classes.withColumnRenamed("print", "c"), "class_id")
+    posts = classes.select("class_id", F.size("print").alias("c_n"), F.posexplode("print").alias("at", "value"))
+    wanted = asked.select("query_id", F.size("print").alias("q_n"), F.posexplode("print").alias("q_at", "value"))
+    offset = (F.col("at") - F.col("q_at")).alias("offset")
+    votes = posts.join(wanted, "value").groupBy("query_id", "class_id", "q_n", "c_n", offset).agg(F.count(F.lit(1)).alias("votes"))
+    start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.col("q_n"), F.col("c_n") - F.col("offset"))
+    votes = votes.withColumn("n", stop - start).where(F.col("n") >= LEAST)
+    tried = votes.groupBy("query_id", "class_id").agg(F.collect_list(F.struct("offset", "votes", "n")).alias("tried"))  # at most one per position of the two
+    both = tried.join(asked.withColumnRenamed("print", "q"), "query_id").join(classes.withColumnRenamed("print", "c"), "class_id")
     both = both.where((F.col("copies") > 1) | (F.col("class_id") != F.col("query_id")))
-    start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("q"), F.size("c") - F.col("offset"))
-    both = both.withColumn("n", stop - start).where(F.col("n") >= LEAST)
+    both = both.select("query_id", "class_id", "copies", "q", "c", F.explode("tried").alias("o")).select("query_id", "class_id", "copies", "q", "c", "o.*")
     pairs = F.arrays_zip(F.slice("q", start + 1, F.col("n")).alias("x"), F.slice("c", start + F.col("offset") + 1, F.col("n")).alias("y"))
     both = both.withColumn("wrong_bits", F.aggregate(pairs, F.lit(0), lambda a, p: a + F.bit_count(p.x.bitwiseXOR(p.y)))).withColumn("bits", F.col("n") * 32)
     good = both.where(F.col("wrong_bits") <= BIT_ERRORS * F.col("bits"))
+    best = F.max(F.struct("votes", -(F.col("wrong_bits") / F.col("bits")), -F.abs("offset"), "offset", "bits", "wrong_bits")).alias("b")
+    found = good.groupBy("query_id", "class_id", "copies").agg(best).select("query_id", "class_id", "copies", "b.offset", "b.votes", "b.bits", "b.wrong_bits")
     w = Window.partitionBy("query_id").orderBy(F.col("wrong_bits") / F.col("bits"), F.desc("bits"), "class_id")
-    return good.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "class_id", "copies", "offset", "votes", "bits", "wrong_bits")
+    return found.withColumn("rank", F.row_number().over(w)).select("query_id", "rank", "class_id", "copies", "offset", "votes", "bits", "wrong_bits")
 
 
 #: Melodies of vectors: notes of NOTE samples at RATE.

@@ -203,6 +203,19 @@ def test_melodies_sound_every_component(spark):
     assert 2 in {r.class_id for r in audio_match.match(prints, F.col("id") == 0).collect()}  # alike in the second half only
 
 
+def test_audio_returns_all_aligned_classes(spark):
+    rng = np.random.default_rng(6)
+    base = [int(x) for x in rng.integers(0, 1 << 32, 40)]
+    near = [(i, [x ^ (1 << (i % 32)) if at == i else x for at, x in enumerate(base)]) for i in range(1, 13)]  # twelve classes, one wrong bit each
+    other = lambda n: [int(x) for x in rng.integers(0, 1 << 32, n)]
+    # most votes at a short overlap (40 and 41 end the query and begin the row), fewer at the offset that aligns
+    chance = [base[38], base[39], *other(4), *[x ^ 1 for x in base[6:38]], base[38], base[39] ^ 1]
+    prints = spark.createDataFrame([(0, base), *near, (20, chance), (21, other(40))], "id long, print array<long>")
+    got = {r.class_id: r for r in audio_match.match(prints, F.col("id") == 0).collect()}
+    assert set(got) == {*range(1, 13), 20}
+    assert sorted(r.rank for r in got.values()) == list(range(1, 14)) and got[20].offset == 0 and got[20].votes == 1
+
+
 def test_pipeline_stages(spark, edge, none):
     import corpus_pipeline as p
 
