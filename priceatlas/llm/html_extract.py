@@ -1,15 +1,15 @@
 """Main text of web pages by site template removal.
 
-Element subtrees are hashed bottom-up and counted per host in Spark, over pages of different content, so that copies of a page count
-once. Subtrees that recur on MANY or more pages of their host are deleted; inside an explicit article, only containers with little
-prose are, since passages that articles share are text. What is left of menus, adverts and other marked-up parts goes by tag, role and class.
+Block-level subtrees of the whole page are hashed bottom-up and counted per host in Spark, over pages of different content, so that copies of
+a page count once. Those on SHARE or more of their host's pages (and at least MANY) are deleted first, wherever they stand; inline elements
+stay in their sentence. In what is left the main text is chosen, and menus, adverts and other parts too rare to be counted go by tag, role and class.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from priceatlas.llm.common import BROADCAST_ROWS, materialize
 
-#: Pages of different content that make a subtree a template of its host.
-MANY = 5
-#: Words of a container inside an article from which on it is prose and stays.
-PROSE_WORDS = 40
+#: A template of a host: least number, and least share, of its pages of different content that hold the subtree.
+MANY, SHARE = 5, 0.3
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|textarea|title|noscript|template|iframe|svg|select|button|object|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -39,7 +37,7 @@ _MARKED = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertis\w+|adsense|sponsor\w*|promo\w*|banner|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|"
     r"notifications?|popup|modal|newsletter|subscri\w+|sharing|share|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|pagination|pager|widgets?|toolbar|login|signup|skip)(?![a-z])"
 )
-_CONTAINERS = frozenset("div section ul ol dl table figure span details fieldset center".split())
+_COUNTED = _BLOCKS - {"html", "body"}
 
 
 class Node:
@@ -119,6 +117,10 @@ def _main(n: Node) -> bool:
     return n.tag in ("article", "main") or n.attrs.get("role") in ("main", "article") or "articlebody" in n.attrs.get("itemprop", "")
 
 
+def _names(n: Node) -> str:
+    return f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
+
+
 def _boilerplate(n: Node, holds_main: bool) -> bool:
     if holds_main or n.tag in ("html", "body"):
         return False
@@ -127,26 +129,28 @@ def _boilerplate(n: Node, holds_main: bool) -> bool:
         return True
     if n.tag == "header":
         return not any(isinstance(k, Node) and k.tag == "h1" for k in n.kids)
-    return bool(a and _MARKED.search(f"{a.get('class', '')} {a.get('id', '')}"))
+    return bool(a and _MARKED.search(_names(n)))
 
 
-def outline(text: str) -> tuple[list[Node], set[int], list[Node]]:
-    """(roots of the main text, ids of dropped elements, elements that template counts may delete)."""
+def outline(text: str, cut: Set[int] = frozenset()) -> tuple[list[Node], set[int], list[Node]]:
+    """(roots of the main text, ids of dropped elements, block-level elements of the whole page, which are counted); those with hashes in cut are dropped first."""
     root, order = parse(text)
+    counted = [n for n in order if n.words and n.tag in _COUNTED]
+    gone = {id(n) for n in counted if signed(n.mark) in cut} if cut else set()
     holds: set[int] = set()
     for n in order:
-        if _main(n) and not _MARKED.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
+        if _main(n) and id(n) not in gone and not _MARKED.search(_names(n)):
             p = n.parent
             while p is not None and id(p) not in holds:
                 holds.add(id(p))
                 p = p.parent
-    dropped, inside, roots, free = set(), set(), [], []
+    dropped: set[int] = set()
     stack = [(root, False, False)]
     articles: list[Node] = []
     mains: list[Node] = []
     while stack:
         n, lost, within = stack.pop()
-        here = lost or (n.tag != "#" and _boilerplate(n, id(n) in holds and not within))
+        here = lost or id(n) in gone or (n.tag != "#" and _boilerplate(n, id(n) in holds and not within))
         if within and n.tag == "article":
             here = True  # an article in an article is a comment on it
         if here:
@@ -155,8 +159,6 @@ def outline(text: str) -> tuple[list[Node], set[int], list[Node]]:
         if _main(n):
             (articles if n.tag == "article" or n.attrs.get("role") == "article" or "articlebody" in n.attrs.get("itemprop", "") else mains).append(n)
         deep = within or n.tag == "article"
-        if deep:
-            inside.add(id(n))
         stack += [(k, False, deep) for k in reversed(n.kids) if isinstance(k, Node)]
     explicit = articles or mains
     roots = explicit or [root]
@@ -167,28 +169,18 @@ def outline(text: str) -> tuple[list[Node], set[int], list[Node]]:
             p = p.parent
         if p is None:
             kept.append(n)
-    for r in kept:
-        stack2 = [r]
-        while stack2:
-            n = stack2.pop()
-            if id(n) in dropped:
-                continue
-            if n is not r and n.words and n.tag not in ("html", "body") and (not explicit or n.tag in _CONTAINERS and n.words < PROSE_WORDS):
-                free.append(n)
-            stack2 += [k for k in n.kids if isinstance(k, Node)]
-    return kept, dropped, free
+    return kept, dropped, counted
 
 
 def signed(mark: int) -> int:
     return mark - (1 << 64) if mark >> 63 else mark
 
 
-def main_text(text: str | None, cut: set[int] = frozenset()) -> str:
+def main_text(text: str | None, cut: Set[int] = frozenset()) -> str:
     """Blocks of the main text without dropped elements and without subtrees whose hash is in cut; joined by blank lines."""
     if not text:
         return ""
-    roots, dropped, free = outline(text)
-    lost = dropped | {id(n) for n in free if signed(n.mark) in cut}
+    roots, lost, _ = outline(text, cut)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -224,21 +216,32 @@ def host_of(url: str | None) -> str:
 
 
 def _subtree_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     for b in batches:
         host, key, content, marks = [], [], [], []
         for k, u, t in zip(b.column("key").to_pylist(), b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            roots, _, free = outline(t or "")
+            roots, _, counted = outline(t or "")
             host.append(host_of(u))
             key.append(k)
-            content.append(signed(roots[0].mark if roots else 0))
-            marks.append(list({signed(n.mark) for n in free}))
+            content.append(signed(xxhash.xxh3_64_intdigest(b"".join(r.mark.to_bytes(8, "big") for r in roots))))
+            marks.append(list({signed(n.mark) for n in counted}))
         yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "host": pa.array(host, pa.string()), "content": pa.array(content, pa.int64()), "marks": pa.array(marks, pa.list_(pa.int64()))})
 
 
-def _text_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        text = [main_text(t, set(c or ())) for t, c in zip(b.column("html").to_pylist(), b.column("cut").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pydict({"page": b.column("page"), "text": pa.array(text, pa.string())})
+def _text_task(templates: dict[str, set[int]]):
+    """templates: hashes by host; a column cut, where there is one, holds the page's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if "cut" in b.schema.names:
+                cuts = [set(c or ()) for c in b.column("cut").to_pylist()]
+            else:
+                cuts = [templates.get(host_of(u), frozenset()) for u in b.column("url").to_pylist()]
+            text = [main_text(t, c) for t, c in zip(b.column("html").to_pylist(), cuts, strict=True)]
+            yield pa.RecordBatch.from_pydict({"page": b.column("page"), "text": pa.array(text, pa.string())})
+
+    return run
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -249,12 +252,18 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     columns = [c for c in pages.columns if c.lower() != "text"]
     rows = pages.select(F.struct(*columns).alias("page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.xxhash64(url_col, html_col).alias("key"))
     seen = rows.select("key", "url", "html").mapInArrow(_subtree_task, "key long, host string, content long, marks array<long>")
+    seen = materialize(seen, "subtrees")
+    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     marks = seen.select("key", "host", "content", F.explode("marks").alias("mark"))
-    counts = marks.groupBy("host", "mark", "content").count().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
-    templates = counts.where(F.col("pages") >= MANY).select("host", "mark")
-    cut = marks.join(templates, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("cut"))
-    cut = materialize(cut, "templates")
-    cut = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
+    counts = marks.groupBy("host", "mark", "content").count().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= MANY)
+    templates = materialize(counts.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("size")).select("host", "mark"), "templates")
     page = rows.select("page").schema["page"].dataType.simpleString()
-    found = rows.join(cut, "key", "left").select("page", "html", "cut").mapInArrow(_text_task, f"page {page}, text string")
-    return found.select("page.*", "text")
+    known: dict[str, set[int]] = {}
+    if templates.count() <= BROADCAST_ROWS:
+        for t in templates.collect():
+            known.setdefault(t.host, set()).add(t.mark)
+        found = rows.select("page", "url", "html")
+    else:
+        cut = materialize(marks.join(templates, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("cut")), "cuts")
+        found = rows.join(cut, "key", "left").select("page", "html", "cut")
+    return found.mapInArrow(_text_task(known), f"page {page}, text string").select("page.*", "text")

@@ -180,6 +180,13 @@ def test_main_text(spark):
     assert got[3] == "story 3 about 21" and got[90] == got[91] == ""
 
 
+def test_templates_are_counted_on_the_whole_page(spark):
+    notice = "<p class='x7'>" + " ".join(f"term{i}" for i in range(50)) + "</p>"
+    rows = [(i, f"http://h/{i}", f"<body><div class='x1'>Top</div><article><h1>Title {i}</h1>{notice}<p>story {i}</p></article></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\n\nstory 3"
+
+
 def test_audio(spark):
     rng = np.random.default_rng(2)
     tune = np.concatenate([np.sin(2 * np.pi * f * np.arange(2048) / 8000) for f in rng.uniform(100, 900, 16)])
