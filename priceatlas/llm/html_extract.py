@@ -37,6 +37,8 @@ _MARKED = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertis\w+|adsense|sponsor\w*|promo\w*|banner|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|"
     r"notifications?|popup|modal|newsletter|subscri\w+|sharing|share|social|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|pagination|pager|widgets?|toolbar|login|signup|skip)(?![a-z])"
 )
+#: Class parts that tell what an element has or lacks, not what it is.
+_STATE = re.compile(r"(?<![\w-])(?:has|no|with|without)-[\w-]*")
 _COUNTED = _BLOCKS - {"html", "body"}
 
 
@@ -118,7 +120,7 @@ def _main(n: Node) -> bool:
 
 
 def _names(n: Node) -> str:
-    return f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"
+    return _STATE.sub(" ", f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}")
 
 
 def _boilerplate(n: Node, holds_main: bool) -> bool:
@@ -129,7 +131,7 @@ def _boilerplate(n: Node, holds_main: bool) -> bool:
         return True
     if n.tag == "header":
         return not any(isinstance(k, Node) and k.tag == "h1" for k in n.kids)
-    return bool(a and _MARKED.search(_names(n)))
+    return bool(a and not _main(n) and _MARKED.search(_names(n)))
 
 
 def outline(text: str, cut: Set[int] = frozenset()) -> tuple[list[Node], set[int], list[Node]]:
@@ -139,7 +141,7 @@ def outline(text: str, cut: Set[int] = frozenset()) -> tuple[list[Node], set[int
     gone = {id(n) for n in counted if signed(n.mark) in cut} if cut else set()
     holds: set[int] = set()
     for n in order:
-        if _main(n) and id(n) not in gone and not _MARKED.search(_names(n)):
+        if _main(n) and id(n) not in gone and not any(_MARKED.fullmatch(w) for w in _names(n).split()):  # a comment or teaser saves no list around it
             p = n.parent
             while p is not None and id(p) not in holds:
                 holds.add(id(p))

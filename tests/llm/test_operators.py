@@ -187,6 +187,15 @@ def test_templates_are_counted_on_the_whole_page(spark):
     assert got[3] == "Title 3\n\nstory 3"
 
 
+def test_templates_are_counted_per_host(spark):
+    notice = "<p class='x7'>" + " ".join(f"term{i}" for i in range(50)) + "</p>"
+    page = lambda i: f"<body><div class='x1'>Top line</div><article class='post comments-open'><h1>Title {i}</h1>{notice}<p>He went to <span>Paris</span> in {i}</p>{'<p>Shared quote</p>' if i < 6 else ''}</article><div class='x9'>Foot</div></body>"
+    rows = [(i, f"http://big/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://plain/{i}", f"<body class='has-sidebar'><main class='has-sidebar'><p>text {i} of {i}</p></main></body>") for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\n\nHe went to Paris in 3\n\nShared quote" and got[30] == "Title 30\n\nHe went to Paris in 30"
+    assert got[101] == "text 1 of 1"
+
+
 def test_audio(spark):
     rng = np.random.default_rng(2)
     tune = np.concatenate([np.sin(2 * np.pi * f * np.arange(2048) / 8000) for f in rng.uniform(100, 900, 16)])
