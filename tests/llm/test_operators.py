@@ -88,6 +88,17 @@ def test_shards_are_even_and_keep_groups(spark, edge, none):
     assert shard.balanced_shards(none).count() == 0
 
 
+def test_shards_swap_copies_without_unlinked_rows(spark):
+    pairs = spark.range(1600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 800).cast("string")).alias("text"))
+    rows = shard.balanced_shards(pairs).join(pairs.withColumnRenamed("doc_id", "id"), "id").collect()
+    sizes, spread = {}, {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + 1
+        spread.setdefault(r.text, set()).add(r.shard)
+    assert len(rows) == 1600 and set(sizes.values()) == {100} and sum(len(s) > 1 for s in spread.values()) <= 40, sum(len(s) > 1 for s in spread.values())
+    assert shard.flows({(0, 1): 5, (1, 2): 4, (2, 0): 3}, [0, 0, 1]) == {(0, 1): 4, (1, 2): 4, (2, 0): 3}
+
+
 def test_packing_covers_every_token(edge, none):
     from tokenizers import Tokenizer
 
