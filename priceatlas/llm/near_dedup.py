@@ -1,8 +1,8 @@
 """Near-duplicate classes by an LSH forest over MinHash signatures.
 
 A document's set: its distinct shingles of `words` words. Documents with equal sets form one class. Each of TREES trees orders the
-classes by its own permutation of the signature; classes that agree on a tree's first DEPTH values share a region of it. In a
-region, sorted neighbours have the longest common prefixes, at whatever depth the region's density gives. First the sorted
+classes by its own permutation of the signature; classes that agree on a tree's first DEPTH values share a region of it. DEPTH is
+fixed, so a dense region is one sort in one task. Sorted neighbours have the longest common prefixes of a region. First the sorted
 neighbours of a few trees are candidates, then those of all trees that are still apart, which joins dense groups without their pairs. Classes of regions that still hold several
 components stay open: of those, the ones of different components that share one of their rarest shingles (as many as the threshold lets
 differ, plus one) are candidates, if estimate and set sizes allow the similarity; members of the largest component meet only the other
@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     sketches = materialize(plain.mapInArrow(_sketch_task(words), "id long, digest long, n long, key binary, sig binary"), "sketches")
-    classes = sketches.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min_by("digest", F.struct("id", "digest")).alias("digest"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    classes = sketches.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    classes = classes.select("key", F.col("first.id").alias("rep"), F.col("first.digest").alias("digest"), "n", "sig")
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     ordered = Window.partitionBy("tree", "region").orderBy("rest", "cid")

@@ -147,6 +147,12 @@ def test_near_duplicates_equal_brute_force(spark, edge, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_null_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text.upper()), (5, text), (2, text.replace("w30", "z"))], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs, words=4).collect()} == {2}
+
+
 def test_language(spark, edge, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
