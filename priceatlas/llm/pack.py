@@ -44,7 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.ends = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in self.tok.get_vocab().items() if w.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
@@ -69,14 +69,15 @@ class WordEncoder:
             self.cache[w] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_STOP.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        whole = {i: np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for i, t in enumerate(texts) for a in self.added if a in t}  # words would tear added tokens
+        split = [[] if i in whole else _STOP.sub(r" \1", t).replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {"": b""}
         new = {w for words in split for w in words}.difference(self.cache)
         if new:
             self._learn(list(new))
         get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [whole[i] if i in whole else b"".join(map(get, words)) for i, words in enumerate(split)]
 
 
 class Packer:

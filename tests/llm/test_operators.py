@@ -147,6 +147,15 @@ def test_near_duplicates_equal_brute_force(spark, edge, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(pack.default_vocabulary())
+    texts = ["a <|endoftext|> b", "a<|startoftext|>b, c.\nd <|endoftext|>", "plain <| text |>"]
+    rows = pack.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_near_duplicates_of_null_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(None, text.upper()), (5, text), (2, text.replace("w30", "z"))], "doc_id long, text string")
