@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceatlas.functions.text import round2, round2_sql
+from priceatlas.llm.common import running_start
 from priceatlas.plans.entities import ITEMS_SQL, QUOTATIONS_SQL, quotation_items, quotations, table
 
 
@@ -114,11 +115,31 @@ def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average and nearest-rank 95th percentile of value by event type (exact, not interpolated)."""
-    e = table(spark, sf_dir, "events").where("value is not null")
-    w = Window.partitionBy("event_type")
-    ranked = e.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("value", "event_id")))
-    p95 = F.max(F.when(F.col("r") == F.ceil(F.col("n") * 0.95), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.max("n").alias("n"), p95.alias("p95"), round2((F.sum(F.col("value").cast("decimal(18,4)")) / F.count(F.lit(1))).cast("double")).alias("average"))
+    return latency_of(table(spark, sf_dir, "events"))
+
+
+#: Equal parts of the range of values; each is sorted by itself.
+PARTS = 1 << 20
+
+
+def latency_of(events: DataFrame) -> DataFrame:
+    """Counts by value, running sums over parts of the range, and the first value whose running count reaches the rank: no task sorts a whole type."""
+    key = F.coalesce(F.concat(F.lit("="), "event_type"), F.lit(""))  # joins would lose a null type
+    e = events.where("value is not null").select(key.alias("k"), "value")
+    counts = e.groupBy("k", "value").agg(F.count(F.lit(1)).alias("c"))
+    v = F.col("value").cast("double")
+    finite = ~F.isnan(v) & (F.abs(v) < float("inf"))
+    ends = counts.agg(F.min(F.when(finite, v)).alias("lo"), F.max(F.when(finite, v)).alias("hi")).first()
+    lo, width = ends.lo or 0.0, max((ends.hi or 0.0) - (ends.lo or 0.0), 1e-300)
+    part = F.when(finite, F.floor((v - lo) / width * (PARTS - 1))).when(v < 0, F.lit(-1)).otherwise(F.lit(PARTS)).cast("long")
+    counts = counts.withColumn("part", part)
+    starts = running_start(counts.groupBy("k", "part").agg(F.sum("c").alias("c")), ["k"], "part", "c", "start").drop("c")
+    sizes = e.groupBy("k").agg(F.count(F.lit(1)).alias("n"), round2((F.sum(F.col("value").cast("decimal(18,4)")) / F.count(F.lit(1))).cast("double")).alias("average"))
+    reached = F.col("start") + F.sum("c").over(Window.partitionBy("k", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    summed = counts.join(starts, ["k", "part"]).select("k", "value", reached.alias("reached"))
+    at = summed.join(sizes, "k").where(F.col("reached") >= F.ceil(F.col("n") * 0.95))
+    found = at.groupBy("k").agg(F.max("n").alias("n"), F.min("value").alias("p95"), F.max("average").alias("average"))
+    return found.select(F.when(F.col("k") != "", F.expr("substr(k, 2)")).alias("event_type"), "n", "p95", "average")
 
 
 QUERIES = {
