@@ -46,8 +46,10 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
 
     weights: source -> weight; sources not named get none (a null source cannot be named). Without weights: rows ** temperature.
     total: expected rows out (default: rows in). Rows with the same id get the same count; a null id counts as the text "null".
-    An empty table gives an empty table. Columns of docs that begin with two underscores are kept apart by name only.
+    An empty table gives an empty table. Columns of docs called __replica, __replicas or __order are replaced; other names cannot clash.
     """
+    result = ("__replica", "__replicas", "__order")
+    columns = [c for c in docs.columns if c.lower() not in result]
     rates = source_rates(docs, weights, temperature, total, source_col)
     rates = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
@@ -60,8 +62,10 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
         u = number(F.concat_ws("|", F.lit(str(seed)), j.cast("string"), name)).cast("double") / float(2**52)
         return F.size(F.filter("__cdf", lambda c: c <= u))
 
-    counted = docs.withColumn("__key", key).join(rates, "__key")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"), key.alias("__key"), name.alias("__name"), F.col(id_col).alias("__id"))
+    name = F.col("__name")
+    counted = packed.join(rates, "__key")
     counted = counted.withColumn("__replicas", F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda a, j: a + part(j)))
     copies = counted.where("__replicas > 0").withColumn("__replica", F.explode(F.sequence(F.lit(1), F.col("__replicas"))))
     order = number(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), name, F.col("__replica").cast("string")))
-    return copies.withColumn("__order", order).drop("__key", "__rate", "__parts", "__cdf").orderBy("__order", id_col, "__replica")
+    return copies.withColumn("__order", order).orderBy("__order", "__id", "__replica").select("__doc.*", *result)
