@@ -19,8 +19,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from priceatlas.llm.common import materialize
+from priceatlas.llm.common import materialize, packed, slices, small_batches, texts_of
 
 #: Labelled rows that the model is fitted on, at most on average: toxic and clean; chosen by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 14_000
@@ -28,6 +29,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 14_000
 CONTEXTS, SUPPORT, LOG_ODDS, ENTRIES = 8, 6, 3.0, 5_000
 #: Words between a lexicon word and a second-person word that still count as near.
 NEAR = 6
+#: Words that a task remembers as in or out of the lexicon; it begins anew beyond.
+KNOWN_WORDS = 100_000
 #: Share of the uncalibrated probability in the score: it orders texts within a step of the calibration.
 BLEND = 0.01
 #: Insults in English, French, German and Spanish, and second-person words.
@@ -61,7 +64,7 @@ def features(text: str, learned: frozenset[str], known: dict[str, bool]) -> list
     for at, w in enumerate(words):
         hit = known.get(w)
         if hit is None:
-            if len(known) > 400_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             hit = known[w] = any(p in learned for p in parts(w))
         if hit:
@@ -85,26 +88,26 @@ def features(text: str, learned: frozenset[str], known: dict[str, bool]) -> list
     ]
 
 
-def _feature_task(learned: frozenset[str], keep: list[str]):
+def _feature_task(learned: frozenset[str], keep: list[str], place: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
-        for b in batches:
-            values = [features(t or "", learned, known) for t in b.column("text").to_pylist()]
+        for b in slices(batches):
+            values = [features(t or "", learned, known) for t in texts_of(b, place)]
             yield pa.RecordBatch.from_pydict({n: b.column(n) for n in keep} | {"x": pa.array(values, pa.list_(pa.float64()))})
 
     return run
 
 
-def with_features(rows: DataFrame, learned: frozenset[str], keep: list[str]) -> DataFrame:
-    """Columns keep of rows, and x: the features of their column text."""
-    schema = ", ".join([*(f"`{n}` {k}" for n, k in rows.select(*keep).dtypes), "x array<double>"])
-    return rows.mapInArrow(_feature_task(learned, keep), schema)
+def with_features(rows: DataFrame, learned: frozenset[str], keep: list[str], place: int | None = None) -> DataFrame:
+    """Columns keep of rows, and x: the features of their column text, or of the field at place of their column row."""
+    schema = StructType([*rows.select(*keep).schema.fields, StructField("x", ArrayType(DoubleType()))])
+    return small_batches(rows).mapInArrow(_feature_task(learned, keep, place), schema)
 
 
 def _toxic_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for b in batches:
+    for b in slices(batches):
         entry, context, doc = [], [], []
         for t in b.column("text").to_pylist():
             words = _WORDS.findall((t or "").lower())
@@ -118,7 +121,7 @@ def _toxic_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _clean_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         docs: Counter[str] = Counter()
         for t in b.column("text").to_pylist():
             docs.update({p for w in set(_WORDS.findall((t or "").lower())) for p in parts(w)})
@@ -139,7 +142,8 @@ def learn_lexicon(sample: DataFrame) -> frozenset[str]:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple | None:
     """(lexicon, trees, calibration) from labelled rows with train (over id_col); None if one class is missing.
 
-    A document labelled more than once counts as toxic if any label says so; null labels and ids are left out.
+    A document labelled more than once counts as toxic if any label says so; null labels and ids are left out. Of several documents of
+    one id, one is learned from: the smallest text.
     """
     marks = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull() & train).groupBy(id_col).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -150,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     picked = marks.where(u < share * 1_000_003).select(F.col(id_col).alias("n"), "toxic", (1 / share).alias("weight"), F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(3)).alias("part"))
     texts = docs.select(F.col(id_col).alias("n"), F.col(text_col).alias("text"))
-    sample = materialize(texts.join(F.broadcast(picked), "n"), "toxicity-sample")  # at most about SAMPLE_TOXIC + SAMPLE_CLEAN small rows
+    sample = texts.join(F.broadcast(picked), "n").groupBy("n", "toxic", "weight", "part").agg(F.min("text").alias("text"))
+    sample = materialize(sample, "toxicity-sample")  # at most about SAMPLE_TOXIC + SAMPLE_CLEAN small rows
     learned = learn_lexicon(sample.where("part < 2"))
     ready = materialize(with_features(sample, learned, ["toxic", "weight", "part"]), "toxicity-features")
     ready = ready.withColumn("features", array_to_vector("x")).withColumn("label", F.col("toxic").cast("double"))
@@ -168,15 +173,19 @@ def _probability(trees, rows: DataFrame) -> DataFrame:
     return trees.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def score(docs: DataFrame, model: tuple | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns keep of docs and toxicity (0 to 1) for every row; a null text counts as empty. Without a model: lexicon words / (lexicon words + 2)."""
+def score(docs: DataFrame, model: tuple | None, keep: list[str], text_col: str = "text", into: str = "toxicity") -> DataFrame:
+    """Columns keep of docs and toxicity (in column into, 0 to 1) for every row; a null text counts as empty. Without a model: lexicon words / (lexicon words + 2).
+
+    A kept column that is called like into is replaced.
+    """
     # the row travels as one struct, so that names of the steps' columns cannot clash with its own
-    packed = docs.select(F.struct(*keep).alias("__row"), F.col(text_col).alias("text"))
+    keep = [c for c in keep if c.lower() != into.lower()]
+    rows, place = packed(docs, keep, text_col)
     if model is None:
         hits = F.expm1(F.col("x")[5])
-        return with_features(packed, frozenset(), ["__row"]).select("__row.*", (hits / (hits + 2)).alias("toxicity"))
+        return with_features(rows, frozenset(), ["row"], place).select("row.*", (hits / (hits + 2)).alias(into))
     learned, trees, scale = model
-    found = with_features(packed, learned, ["__row"]).withColumn("features", array_to_vector("x"))
+    found = with_features(rows, learned, ["row"], place).withColumn("features", array_to_vector("x"))
     found = _probability(trees, found).withColumn("features", array_to_vector(F.array("p")))
     value = (1 - BLEND) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("calibrated"))) + BLEND * F.col("p")
-    return scale.transform(found).select("__row.*", value.alias("toxicity"))
+    return scale.transform(found).select("row.*", value.alias(into))
