@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from priceatlas.llm.common import materialize
+from priceatlas.llm.common import materialize, packed, slices, texts_of
 
-#: Documents of a language that its probabilities are fitted on, at most on average; chosen by a hash of the text.
+#: Documents of a language that its probabilities are fitted on, at most on average; chosen by a hash of id and text, so that copies of one text are not all taken.
 TRAIN_DOCS = 2_000
 EM_ROUNDS = 2
 #: Added to each expected piece count.
@@ -28,7 +29,8 @@ LONGEST = 32
 UNKNOWN = 1e-7
 #: A text's evidence counts as that of this many words at most in the reported score, which would else always be 0 or 1.
 EVIDENCE = 16
-CACHE_WORDS = 400_000
+#: Words whose scores a task remembers; it begins anew beyond.
+CACHE_WORDS = 150_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -152,13 +154,13 @@ def _expect_task(langs: list[str], probs: np.ndarray, path: str):
     return run
 
 
-def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text", vocabulary: str | None = None) -> tuple[list[str], np.ndarray, str]:
+def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str = "text", vocabulary: str | None = None, id_col: str = "doc_id") -> tuple[list[str], np.ndarray, str]:
     """(languages, probabilities[piece or unknown, language], vocabulary): fitted on at most TRAIN_DOCS documents of a language on average.
 
     What comes to the driver is one number per piece and language, bounded by the vocabulary, not by the corpus.
     """
     path = vocabulary or default_vocabulary()
-    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("hash"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     trie = Trie.of(path)
@@ -167,9 +169,9 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str =
     if not langs:
         return langs, probs, path
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, TRAIN_DOCS / sizes[k]))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003)
-    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    words = picked.select("lang", found.alias("w")).select("lang", F.substring("w", 1, LONGEST).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    picked = rows.where(F.pmod(F.col("hash"), F.lit(1_000_003)) < share * 1_000_003)
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{1,{LONGEST}}}"), F.lit(0)))  # long words in the parts that are scored
+    words = picked.select("lang", found.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
     words = materialize(words, "language-words")
     for _ in range(EM_ROUNDS):
         sums = words.mapInArrow(_expect_task(langs, probs, path), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
@@ -179,11 +181,11 @@ def fit(docs: DataFrame, train: Column, lang_col: str = "lang", text_col: str =
     return langs, probs, path
 
 
-def _score_task(langs: list[str], probs: np.ndarray, path: str):
+def _score_task(langs: list[str], probs: np.ndarray, path: str, place: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, seen, table, used = Trie.of(path), {}, np.zeros((CACHE_WORDS, len(langs))), 0
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        for b in slices(batches):
+            texts = texts_of(b, place)
             best, score = [], []
             for at in range(0, len(texts), 64):
                 split = [words_of(t) if t else [] for t in texts[at : at + 64]]
@@ -207,16 +209,18 @@ def _score_task(langs: list[str], probs: np.ndarray, path: str):
                     p = np.exp((ll - ll.max()) * min(len(ws), EVIDENCE))
                     best.append(langs[int(ll.argmax())])
                     score.append(float(p.max() / p.sum()))
-            out = {n: b.column(n) for n in b.schema.names}
-            yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(best, pa.string()), "score": pa.array(score, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "lang_pred": pa.array(best, pa.string()), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, str], keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns keep of docs, lang_pred and score for every row. und with score 0: a null text, one without letters, or no language learned."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, str], keep: list[str], text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns keep of docs, lang_pred and score for every row. und with score 0: a null text, one without letters, or no language learned.
+
+    into: names of the two; kept columns called like one of them are replaced.
+    """
     langs, probs, path = model
-    kept = docs.select(*[c for c in keep if c != "text"], F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{n}` {k}" for n, k in kept.dtypes) + ", lang_pred string, score double"
-    found = kept.mapInArrow(_score_task(langs, probs, path), schema)
-    return found if "text" in keep else found.drop("text")
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in into}]
+    rows, place = packed(docs, keep, text_col)
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_score_task(langs, probs, path, place), schema).select("row.*", F.col("lang_pred").alias(into[0]), F.col("score").alias(into[1]))
