@@ -2,7 +2,7 @@
 
 A document's set: its distinct shingles of `words` words. Documents with equal sets form one class. Each of TREES trees orders the
 classes by its own permutation of the signature; classes that agree on a tree's first DEPTH values share a region of it. DEPTH is
-fixed, so a dense region is one sort in one task. Sorted neighbours have the longest common prefixes of a region. First the sorted
+fixed; a region of more than DENSE classes is sorted in parts. Sorted neighbours have the longest common prefixes of a region. First the sorted
 neighbours of a few trees are candidates, then those of all trees that are still apart, which joins dense groups without their pairs. Classes of regions that still hold several
 components stay open: of those, the ones of different components that share one of their rarest shingles (as many as the threshold lets
 differ, plus one) are candidates, if estimate and set sizes allow the similarity; members of the largest component meet only the other
@@ -11,6 +11,7 @@ members. All links are confirmed on full sets. No region, partner or candidate c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceatlas.llm.common import materialize
+from priceatlas.llm.common import BROADCAST_ROWS, materialize, slices, small_batches
 
 HASHES = 128
 TREES = 32
 DEPTH = 5
+#: Classes of a region that are sorted in one task.
+DENSE = 50_000
 #: Values beyond DEPTH that order a region.
 BEYOND = 8
 #: Trees whose sorted neighbours are the first candidates.
@@ -37,6 +40,8 @@ BINS = 1 << BIN_BITS
 _MULTIPLY = np.random.default_rng(20_240_501).integers(1, 2**32, HASHES).astype(np.uint32) | np.uint32(1)
 _ORDERS = np.stack([np.random.default_rng(900 + t).permutation(HASHES)[: DEPTH + BEYOND] for t in range(TREES)])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Word hashes, and signatures of sets that come again, that a task remembers; it begins anew beyond.
+CACHE_WORDS, CACHE_SETS = 150_000, 10_000
 
 
 class Shingler:
@@ -52,7 +57,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         cache = self.cache
-        if len(cache) > 400_000:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
         for w in set(words).difference(cache):
             cache[w] = xxhash.xxh3_64_intdigest(w)
@@ -78,14 +83,14 @@ def _sketch_task(words: int):
         import xxhash
 
         shingle, known = Shingler(words), {}
-        for b in batches:
+        for b in slices(batches):
             n, key, sig = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle(t)
                 n.append(len(s))
                 k = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 if k is not None and k not in known:
-                    if len(known) > 50_000:
+                    if len(known) > CACHE_SETS:
                         known.clear()
                     known[k] = signature(s).tobytes()
                 key.append(k)
@@ -137,7 +142,7 @@ def _confirm_task(percent: int):
 def _set_task(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"cid": b.column("cid"), "set": pa.array(sets, pa.binary())})
 
@@ -155,7 +160,7 @@ def _bin_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rare_task(bins: np.ndarray, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             shingle, row, size, place = [], [], [], []
             for i, x in enumerate(b.column("set")):
                 s = np.frombuffer(x.as_buffer(), np.uint64)
@@ -189,25 +194,33 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept: one row per row of docs.
+    """id, n_shingles, component_id, kept, digest, set_key: one row per row of docs.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; component_id is the smallest id reachable,
     kept marks the row that has it. A null text, or one without words, has an empty set, is linked with nothing and kept. Rows with the
     same id are rows of their own (all of them kept, if theirs is the smallest id); a null id is never the smallest while its component has another,
-    and is kept only if it has none. An empty table gives no rows. A link right at the threshold is missed with a
+    and is kept only if it has none. digest: xxhash64 of the text; set_key: equal for equal sets, null for an empty one. An empty table gives no rows. A link right at the threshold is missed with a
     chance of about 1 in 100,000; more similar ones practically never.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    sketches = materialize(plain.mapInArrow(_sketch_task(words), "id long, digest long, n long, key binary, sig binary"), "sketches")
+    sketches = materialize(small_batches(plain).mapInArrow(_sketch_task(words), "id long, digest long, n long, key binary, sig binary"), "sketches")
     classes = sketches.where("n > 0").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
     classes = classes.select("key", F.col("first.id").alias("rep"), F.col("first.digest").alias("digest"), "n", "sig")
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    ordered = Window.partitionBy("tree", "region").orderBy("rest", "cid")
+    # a dense region is sorted in parts, other ones in each tree, so that its classes meet across the parts of the others
     forest = classes.select("cid", "n", "sig").mapInArrow(_forest_task, "tree int, region long, cid long, n long, rest binary")
+    part = F.lit(0).cast("long")
+    if classes.count() > DENSE:
+        dense = forest.groupBy("tree", "region").agg(F.ceil(F.count(F.lit(1)) / DENSE).alias("parts")).where("parts > 1")
+        dense = materialize(dense, "dense-regions")
+        forest = forest.join(F.broadcast(dense) if dense.count() <= BROADCAST_ROWS else dense, ["tree", "region"], "left")
+        part = F.pmod(F.xxhash64("cid", "tree"), F.coalesce("parts", F.lit(1)))
+    ordered = Window.partitionBy("tree", "region", "part").orderBy("rest", "cid")
+    forest = forest.select("tree", "region", "cid", "n", "rest", part.alias("part"))
     mark = F.struct("cid", "n")
     forest = forest.withColumns({"after": F.lead("cid").over(ordered)} | {f"before{k}": F.lag(mark, k).over(ordered) for k in range(1, NEIGHBOURS + 1)})
-    shared = materialize(forest.where("before1 is not null or after is not null").drop("after", "rest"), "regions")
+    shared = materialize(forest.where("before1 is not null or after is not null").drop("after", "rest", "part"), "regions")
 
     ids = shared.select("cid").distinct()
     wanted = classes.join(ids, "cid", "left_semi").select("cid", F.coalesce("rep", F.lit(-(2**62))).alias("id"), "digest")
@@ -255,10 +268,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     parts = rare.groupBy("shingle", "f").agg(F.count(F.lit(1)).alias("rows"))
     mixed = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("rows", "f")).alias("most")).where("parts > 1").select("shingle", F.col("most.f").alias("most"))
     meeting = materialize(rare.join(mixed, "shingle"), "meeting")
-    few = meeting.where("f <> most").select("shingle", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("at").alias("at2"))
+    # sets that can be linked lie in the same or in neighbouring size classes
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).alias("step")
+    meeting = meeting.withColumn("step", step)
+    few = meeting.where("f <> most").select(F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("step"), "shingle", F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("f").alias("f2"), F.col("at").alias("at2"))
     # the first shared shingle of two sets has left all rarer ones unmatched: what is left must still suffice
     enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= percent * (F.col("n") + F.col("n2"))
-    pairs = meeting.join(few, "shingle").where(enough & (F.col("f") != F.col("f2")) & ((F.col("f") == F.col("most")) | (F.col("cid") < F.col("c2"))) & possible(F.col("n"), F.col("n2")))
+    pairs = meeting.join(few, ["shingle", "step"]).where(enough & (F.col("f") != F.col("f2")) & ((F.col("f") == F.col("most")) | (F.col("cid") < F.col("c2"))) & possible(F.col("n"), F.col("n2")))
     pairs = materialize(pairs.select(F.least("cid", "c2").alias("a"), F.greatest("cid", "c2").alias("b")).distinct(), "pairs")
     more = materialize(confirmed(likely(pairs)), "links")
     joined = components(links.unionByName(more))
@@ -266,6 +282,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     roots = classes.join(joined.withColumnRenamed("v", "cid"), "cid", "left").select("key", "rep", F.coalesce("f", "cid").alias("f"))
     smallest = roots.groupBy("f").agg(F.min("rep").alias("component_id"))
     named = materialize(roots.join(smallest, "f").select("key", "component_id"), "components")
-    out = sketches.select("id", "n", "key").join(named, "key", "left")
+    out = sketches.select("id", "n", "key", "digest").join(named, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    out = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), "digest", F.col("key").alias("set_key"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
