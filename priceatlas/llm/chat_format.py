@@ -48,20 +48,25 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, n_turns, formatted, loss_mask: one row per conversation.
+    """conv_id, formatted, loss_mask: one row per conversation.
 
     loss_mask has a struct(start, length) per turn, in code points of that turn's own segment: its text if the role is loss_role, else
     length 0. Turns are in the order of (turn, role, text), null turns first. Blocks of turns are joined first, so that a conversation
     with very many turns is put together from few rows; its text is one value in the end, as the format asks.
     """
     head = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n"))
-    body = escape(F.col("text"))
-    length = F.when(F.col("role") == loss_role, F.length(body)).otherwise(0)
-    turn = F.struct("turn", "role", F.concat(head, body, F.lit(END)).alias("segment"), "message_id", F.struct(F.length(head).alias("start"), length.alias("length")).alias("mask"))
-    blocks = messages.groupBy("conv_id", F.floor(F.col("turn") / TURN_BLOCK).alias("block")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    bears = F.col("role") == loss_role
+
+    def segment(x: Column) -> Column:
+        body = escape(x.text)
+        mask = F.struct(F.length(x.head).alias("start"), F.when(x.bears, F.length(body)).otherwise(0).alias("length"))
+        return F.struct(F.concat(x.head, body, F.lit(END)).alias("segment"), mask.alias("mask"))
+
+    turn = F.struct("turn", "role", "text", "message_id", head.alias("head"), bears.alias("bears"))  # ties go by the plain text, which is escaped afterwards
+    blocks = messages.groupBy("conv_id", F.floor(F.col("turn") / TURN_BLOCK).alias("block")).agg(F.transform(F.sort_array(F.collect_list(turn)), segment).alias("t"))
     blocks = blocks.select("conv_id", F.struct("block", F.array_join(F.col("t.segment"), "").alias("text"), F.col("t.mask").alias("mask")).alias("b"))
     whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list("b")).alias("b"))
-    return whole.select("conv_id", F.array_join(F.col("b.text"), "").alias("formatted"), F.flatten(F.col("b.mask")).alias("loss_mask")).withColumn("n_turns", F.size("loss_mask").cast("long"))
+    return whole.select("conv_id", F.array_join(F.col("b.text"), "").alias("formatted"), F.flatten(F.col("b.mask")).alias("loss_mask"))
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -70,7 +75,7 @@ def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns array<struct<role, text>>, loss array<string> (unescaped text under the mask, turn by turn), parsed from the output alone."""
+    """conv_id, n_turns, formatted, turns array<struct<role, text>>, loss array<string> (unescaped text under the mask, turn by turn), parsed from the output alone."""
     parts = F.split("formatted", END)
     zipped = F.arrays_zip(F.slice(parts, 1, F.size(parts) - 1).alias("s"), F.col("loss_mask").alias("m"))
 
@@ -79,7 +84,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return F.struct(unescape(F.substring(head, F.lit(7), F.length(head))).alias("role"), unescape(F.substring(x.s, F.length(head) + 3, F.length(x.s))).alias("text"))
 
     return formatted.select(
-        "conv_id", "n_turns", "formatted",
+        "conv_id", (F.size(parts) - 1).cast("long").alias("n_turns"), "formatted",
         F.transform(zipped, turn).alias("turns"),
         F.transform(zipped, lambda x: unescape(F.substring(x.s, x.m.start + 1, x.m.length))).alias("loss"),
     )
