@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and edge rows: nulls, empty and long texts, ties, repeats, extra columns, empty tables."""
 
+import random
 import zlib
 
 import numpy as np
@@ -32,17 +33,32 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 12)) * rng.uniform(0.1, 3, size=(400, 1))
     v[7] = v[3]
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(3, [float(x) for x in v[3]]), (900, None), (901, [1.0, None]), (902, [float("nan")] * 12), (None, [1.0] * 12), (950, [1.0, 2.0])]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(50, [float(x) for x in v[50]]), (3, [float(x) for x in v[3]]), (900, None), (901, [1.0, None]), (902, [float("nan")] * 12), (None, [1.0] * 12), (950, [1.0, 2.0])]
     got = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect()
     q = np.floor(256 * v).astype(np.int64)
     for i in range(0, 400, 50):
         s = q @ q[i]
-        want = [(int(s[j]), j) for j in sorted((j for j in range(400) if j != i), key=lambda j: (-s[j], j))[:5]]
+        want = [(int(s[j]), j) for j in sorted((j for j in [*range(400), 3, 50] if j != i), key=lambda j: (-s[j], j))[:5]]
         assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == want
     assert {r.query_id for r in got} == set(range(0, 400, 50))
     assert topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_in_many_blocks(spark, monkeypatch):
+    """Small groups, blocks and runs, two dimensions, clashing columns: still every query's best."""
+    for name, n in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("HEAD_BLOCKS", 2), ("RUN_BLOCKS", 3)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(900, 8)) * rng.uniform(0.01, 3, size=(900, 1))
+    v[::7] = 0
+    rows = [(i, [float(x) for x in r[: 8 if i % 3 else 5]], 1, 2) for i, r in enumerate(v)]
+    got = topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>, norm int, g int"), F.col("id") % 10 == 0, k=3).collect()
+    q = [np.floor(256 * np.array(r[1])).astype(np.int64) for r in rows]
+    for i in range(0, 900, 10):
+        near = sorted((-int(q[i] @ q[j]), j) for j in range(900) if j != i and len(q[j]) == len(q[i]))[:3]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == near
+
+
 def test_mix_follows_rates(spark, edge, none):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.lit(1).alias("replica"))
     out = source_mix.poisson_mix(docs, weights={"a": 0.75, "b": 0.25}, total=60_000)
@@ -67,10 +83,25 @@ def test_chats_fold_and_round_trip(spark):
     texts = [None, "", "a\\ < &lt; > </turn>\n", "é" * 9000]
     turns = spark.createDataFrame([(7, i, "assistant", t, 1) for i, t in enumerate(texts)] + [(7, 9, None, "r", 1)] * 2, "conv_id long, turn long, role string, text string, seq int")
     row = chat_format.read_back(chat_format.format_chats(chat_format.events_of(turns))).first()
-    assert [t.text for t in row.turns] == [t or "" for t in texts] + ["r", "r"] and row.loss == [t or "" for t in texts] + ["", ""]
+    assert row.n_turns == 6 and [t.text for t in row.turns] == [t or "" for t in texts] + ["r", "r"] and row.loss == [t or "" for t in texts] + ["", ""]
     assert chat_format.format_chats(chat_format.events_of(turns.limit(0))).count() == 0
 
 
+def test_chats_with_ties_equal_sql(spark, tmp_path):
+    """Tied turns go by the plain text, as in the SQL, also where escaping would order them otherwise."""
+    import duckdb
+
+    from priceatlas.llm import queries
+
+    rows = [(1, 0, "user", "a b", 1), (1, 0, "user", "a", 1), (1, 0, "user", "a", 1), (1, 1, "assistant", "<", 1), (1, 1, "assistant", "0", 1), (2, None, None, None, 1), (2, 3, "assistant", "&lt;", 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message_id int").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.op3_chat_format(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = c.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.OP3_SQL})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == 3
+
+
 def test_shards_are_even_and_keep_groups(spark, edge, none):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 300, F.concat(F.lit("t"), (F.col("id") % 100).cast("string"))).when(F.col("id") < 500, "hot").otherwise(F.concat(F.lit("u"), F.col("id").cast("string"))).alias("text"))
     rows = shard.balanced_shards(docs).join(docs.withColumnRenamed("doc_id", "id"), "id").collect()
@@ -112,14 +143,37 @@ def test_packing_covers_every_token(edge, none):
         held = sorted((r for r in rows if r.sequence_id == s), key=lambda r: r.offset)
         assert sum(r.length for r in held) <= 4096 and [r.offset for r in held] == list(np.cumsum([0] + [r.length for r in held])[:-1])
     assert pack.pack_documents(none).count() == 0
+
+
+def test_packing_under_three_limits(spark):
+    """Conversations as prompt and answer: no sequence breaks a limit, each limit binds somewhere, and all tokens are there."""
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    last = F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text")))
+    prompt = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.coalesce(t.text, F.lit(""))), " ")
+    pairs = turns.groupBy("conv_id").agg(prompt.alias("prompt"), last["text"].alias("text"))
+    bounds = {}
+    for most in ((512, 6, 60), (512, 6, 512), (4096, 3, 4096)):
+        rows = pack.pack_documents(pairs, tokens=most[0], segments=most[1], loss=most[2], id_col="conv_id", prompt_col="prompt").collect()
+        tok = pack.WordEncoder.of(pack.default_vocabulary()).tok
+        count = lambda t: len(tok.encode(t or "", add_special_tokens=False).ids)
+        starts = {r.conv_id: count(r.prompt) for r in pairs.collect()}
+        sums = {}
+        for r in rows:
+            x = sums.setdefault(r.sequence_id, [0, 0, 0])
+            for i, n in enumerate((r.length, 1, max(0, r.start + r.length - max(r.start, starts[r.doc_id])))):
+                x[i] += n
+        assert all(a <= b for x in sums.values() for a, b in zip(x, most, strict=True))
+        bounds[most] = [max(x[i] for x in sums.values()) for i in range(3)]
+        assert sum(r.length for r in rows) == sum(count(r.prompt) + count(r.text) + 1 for r in pairs.collect())
+    assert bounds[512, 6, 60][2] == 60 and bounds[512, 6, 512][0] == 512 and bounds[4096, 3, 4096][1] == 3
     tight = pack.Packer(100, 2, 30)
     for i in range(9):
-        assert not list(tight.add((i, b"", 40, 15)))
+        assert not list(tight.add(i, 15, bytes(4 * 40)))
     for held in tight.pack(True):
         assert (tight.demand(held).sum(0) <= tight.limits).all()
 
 
-def test_near_duplicates_equal_brute_force(spark, edge, none):
+def test_near_duplicates_equal_brute_force(spark, edge, none, monkeypatch):
     rng = np.random.default_rng(5)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(20)]
     texts = list(base)
@@ -142,6 +196,8 @@ def test_near_duplicates_equal_brute_force(spark, edge, none):
                     parent[i] = parent[j] = min(parent[i], parent[j])
                     changed = True
     assert [got[i].component_id for i in range(len(sets))] == parent and [got[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
+    monkeypatch.setattr(near_dedup, "DENSE", 3)  # regions in parts find the same
+    assert {r.id: r.component_id for r in near_dedup.near_duplicates(docs, words=4).collect()} == {i: g.component_id for i, g in got.items()}
     rows = near_dedup.near_duplicates(edge, words=4).collect()
     assert sorted((r.id or 0, r.component_id, r.kept) for r in rows) == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True)]
     assert near_dedup.near_duplicates(none).count() == 0
@@ -151,7 +207,9 @@ def test_packing_keeps_added_tokens(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(pack.default_vocabulary())
-    texts = ["a <|endoftext|> b", "a<|startoftext|>b, c.\nd <|endoftext|>", "plain <| text |>"]
+    rng = random.Random(1)
+    signs = ["a", "B", "é", "İ", ".", ",", "'s", " ", "\n", "\t", "1", "½", "中", "ß", "ŉ", "\u0307", "\ufb1f", "!", "<|endoftext|>", " ", "the", "ing", " ", "."]
+    texts = ["a <|endoftext|> b", "a<|startoftext|>b, c.\nd <|endoftext|>", "plain <| text |>", "İ.", "İ, x", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(1000))]
     rows = pack.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
 
@@ -255,29 +313,62 @@ def test_melodies_sound_every_component(spark):
     assert 2 in {r.class_id for r in audio_match.match(prints, F.col("id") == 0).collect()}  # alike in the second half only
 
 
-def test_audio_returns_all_aligned_classes(spark):
+def test_audio_equals_brute_force(spark, none):
+    """All pairs, all offsets, whole overlaps and stretches between shared integers; what shares no integer is the only loss."""
     rng = np.random.default_rng(6)
-    base = [int(x) for x in rng.integers(0, 1 << 32, 40)]
-    near = [(i, [x ^ (1 << (i % 32)) if at == i else x for at, x in enumerate(base)]) for i in range(1, 13)]  # twelve classes, one wrong bit each
-    other = lambda n: [int(x) for x in rng.integers(0, 1 << 32, n)]
-    # most votes at a short overlap (40 and 41 end the query and begin the row), fewer at the offset that aligns
-    chance = [base[38], base[39], *other(4), *[x ^ 1 for x in base[6:38]], base[38], base[39] ^ 1]
-    prints = spark.createDataFrame([(0, base), *near, (20, chance), (21, other(40))], "id long, print array<long>")
-    got = {r.class_id: r for r in audio_match.match(prints, F.col("id") == 0).collect()}
-    assert set(got) == {*range(1, 13), 20}
-    assert sorted(r.rank for r in got.values()) == list(range(1, 14)) and got[20].offset == 0 and got[20].votes == 1
+    draw = lambda n: rng.integers(0, 1 << 32, n)
+    base = draw(40)
+    noisy = lambda x, share: x ^ np.array([int("".join(rng.choice(["0", "1"], 32, p=[1 - share, share])), 2) for _ in x])
+    prints = [base, *(noisy(base, s) for s in (0.005, 0.01, 0.03, 0.1, 0.2, 0.3, 0.45)), np.concatenate([draw(9), base[5:35]]), np.concatenate([base[30:], draw(30)]), base[:5], base, draw(40), np.full(30, 7), np.full(50, 7), *(draw(40) for _ in range(20))]
+    prints = [p.astype(np.int64) for p in prints]
+
+    def sure(n, wrong):
+        e = wrong / (32 * n)
+        kl = lambda x, p: x * np.log(x / p) if x > 0 else 0.0
+        return n * audio_match.INDEPENDENT * (kl(e, audio_match.CHANCE) + kl(1 - e, 1 - audio_match.CHANCE)) if e < audio_match.CHANCE else 0.0
+
+    first = {tuple(p): i for i, p in reversed(list(enumerate(prints)))}
+    want, unvoted = {}, 0
+    for q in (0, 8, 13):
+        for p, i in first.items():
+            c, x = np.array(p), prints[q]
+            if i == first[tuple(x)] and sum(tuple(y) == p for y in prints) == 1:
+                continue
+            for o in range(-len(x) + 1, len(c)):
+                a, z = max(0, -o), min(len(x), len(c) - o)
+                wrong = np.bitwise_count(x[a:z] ^ c[a + o : z + o])
+                hit = np.flatnonzero(wrong == 0)
+                for lo, hi in {(a, z), (a + hit[0], a + hit[-1] + 1)} if len(hit) else {(a, z)}:
+                    n, w = hi - lo, int(wrong[lo - a : hi - a].sum())
+                    if sure(n, w) >= -np.log(audio_match.ALARM) and w <= audio_match.BIT_ERRORS * 32 * n:
+                        unvoted += not len(hit)
+                        if len(hit):
+                            want.setdefault((q, i), []).append((round(sure(n, w), 6), len(hit), o, n, w))
+    rows = [(i, p.tolist()) for i, p in enumerate(prints)] + [(90, []), (91, None), (None, base.tolist())]
+    got = audio_match.match(spark.createDataFrame(rows, "id long, print array<long>"), F.col("id").isin(0, 8, 13)).collect()
+    assert {(r.query_id, r.class_id) for r in got} == set(want) and {(0, 0), (0, 1), (0, 4), (0, 8), (8, 0), (13, 14)} <= set(want) and unvoted <= 2
+    for r in got:
+        assert (r.votes, r.offset, r.positions, r.wrong_bits) in [x[1:] for x in want[r.query_id, r.class_id] if x[0] == max(want[r.query_id, r.class_id])[0]]
+    assert audio_match.match(spark.createDataFrame([], "id long, print array<long>"), F.col("id") == 0).count() == 0
 
 
 def test_pipeline_stages(spark, edge, none):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["toxicity", "language", "near_duplicates", "source_mix", "packing"]
-    documents = edge.select("doc_id", "text", "lang", "source", "n_chars")
-    for docs in (documents, documents.limit(0)):
+    names = ["lang_pred", "toxicity", "__rate", "__key", "__order", "row", "x", "features", "p", "digest", "none", "a.b"]
+    documents = edge.select("doc_id", "text", "lang", "source", "n_chars", "id", "score", *[F.lit(7).alias(n) for n in names])
+    plain = edge.select("doc_id", "text", "lang", "source", "n_chars")
+    for docs in (plain, plain.limit(0), documents):
         for name, stage in p.STAGES:
             out = stage(spark, docs, SF)
             rows = out.collect()
-            assert name == "packing" or out.columns == docs.columns
+            assert name in ("packing", "source_mix") or out.columns == docs.columns
+            assert name != "source_mix" or set(out.columns) == set(docs.columns)
             if name == "near_duplicates" and rows:
                 assert sorted(r.doc_id for r in rows) == [1, 2, 3, 4, 5, 6]
+    text = " ".join(f"w{i}" for i in range(60))
+    copies = spark.createDataFrame([(7, text), (None, text), (None, text.upper()), (None, "other text of few words"), (None, "other text of few words"), (-1, "a b c d e f"), (8, ""), (8, ""), (9, None)], "doc_id long, text string")
+    kept = p.drop_near_duplicates(spark, copies, SF).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:5]) for r in kept) == [(-1, "a b c"), (0, "other"), (7, "w0 w1"), (8, ""), (9, "")]
     assert p.run(spark, SF).count() > 0
