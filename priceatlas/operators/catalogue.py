@@ -107,8 +107,8 @@ def months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boost of recent quotations: 1 on the day AS_OF, falling to 0 over FADES days."""
-    age = F.datediff(F.lit(AS_OF), F.col("o_orderdate"))
+    """Boost of recent quotations: 1 on the day AS_OF and after it, falling to 0 over FADES days."""
+    age = F.greatest(F.lit(0), F.datediff(F.lit(AS_OF), F.col("o_orderdate")))
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.greatest(F.lit(0.0), F.lit(1.0) - age / F.lit(float(FADES))).alias("boost"))
 
 
@@ -137,6 +137,6 @@ SQL = {
     "settings_upsert": "SELECT user_id, event_id, event_type AS setting, writes FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS writes, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1",
     "readiness_audit": AUDIT_SQL,
     "billing_months": "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS count, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE) AS value FROM orders GROUP BY 1",
-    "recency_boost": f"SELECT o_orderkey AS id, greatest(0::DOUBLE, 1::DOUBLE - date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') / {FADES}::DOUBLE) AS boost FROM orders",
+    "recency_boost": f"SELECT o_orderkey AS id, greatest(0::DOUBLE, 1::DOUBLE - greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}')) / {FADES}::DOUBLE) AS boost FROM orders",
     "attribute_containment": f"WITH p AS ({PRICE_RECORDS_SQL}) SELECT id, product, {format_inr_sql('price')} AS price FROM p WHERE CAST(size AS VARCHAR) IN ('{ASKED_SIZE}', '{ASKED_SIZE:.2f}')",
 }

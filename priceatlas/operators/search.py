@@ -48,23 +48,34 @@ c AS (SELECT query, product, common / CAST(nq + np - common AS DOUBLE) AS simila
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query, rank, product, score, label, needs_review: the five best names of each query; several near the best are held back for review.
 
-    The score is capped at CAP, by position, for the first n + 1 of a query whose best has n near ties within NEAR.
+    If a query's best reaches MATCHED and n other names, normalised to another text, reach it too and are within NEAR of the best, the first
+    n + 1 by position are capped at CAP. All scored names count, not the five best alone; ranks are those after the cap.
     """
     score = F.round(W_SIMILAR * F.col("similarity") + W_TOKENS * F.col("coverage"), 4)
+    return capped_five(candidates(spark, sf_dir).withColumn("score", score))
+
+
+def capped_five(scored: DataFrame) -> DataFrame:
+    """query, rank, product, score, label, needs_review of scored names (query, product, score): see ranked."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "product")
-    rows = candidates(spark, sf_dir).withColumn("score", score).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    whole = Window.partitionBy("query")
-    rows = rows.withColumn("best", F.max("score").over(whole)).withColumn("ties", F.sum(F.when(F.col("best") - F.col("score") <= NEAR, 1).otherwise(0)).over(whole) - 1)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = scored.withColumn("rank", F.row_number().over(w)).withColumn("normal", normalize_n1(F.col("product")))
+    rows = rows.withColumn("best", F.first("score").over(whole)).withColumn("best_normal", F.first("normal").over(whole))
+    near = (F.col("best") >= MATCHED) & (F.col("score") >= MATCHED) & (F.col("best") - F.col("score") <= NEAR) & (F.col("normal") != F.col("best_normal"))
+    rows = rows.withColumn("ties", F.sum(F.when(near, 1).otherwise(0)).over(whole))
     capped = F.when((F.col("ties") > 0) & (F.col("rank") <= F.col("ties") + 1), F.least(F.col("score"), F.lit(CAP))).otherwise(F.col("score"))
-    rows = rows.withColumn("score", capped)
+    rows = rows.withColumn("score", capped).withColumn("rank", F.row_number().over(w)).where("rank <= 5")
     label = F.when(F.col("score") >= MATCHED, "Matched").when(F.col("score") >= REVIEW, "Needs review").otherwise("Not reliable enough")
     return rows.select("query", "rank", "product", "score", label.alias("label"), (F.col("score") < MATCHED).alias("needs_review"))
 
 
 RANKED_SQL = f"""{_N}, s AS (SELECT query, product, round({W_SIMILAR}::DOUBLE * similarity + {W_TOKENS}::DOUBLE * coverage, 4) AS score FROM c),
-k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, product) AS rank FROM s QUALIFY rank <= 5),
-b AS (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM k), t AS (SELECT *, sum(CASE WHEN best - score <= {NEAR}::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY query) - 1 AS ties FROM b),
-d AS (SELECT query, CAST(rank AS INTEGER) AS rank, product, CASE WHEN ties > 0 AND rank <= ties + 1 THEN least(score, {CAP}::DOUBLE) ELSE score END AS score FROM t)
+m AS (SELECT product, {normalize_n1_sql('product')} AS normal FROM (SELECT DISTINCT product FROM s)),
+k AS (SELECT s.*, normal, row_number() OVER (PARTITION BY query ORDER BY score DESC, product) AS place FROM s JOIN m USING (product)),
+b AS (SELECT query, score AS best, normal AS best_normal FROM k WHERE place = 1),
+t AS (SELECT query, count(*) AS ties FROM k JOIN b USING (query) WHERE best >= {MATCHED} AND score >= {MATCHED} AND best - score <= {NEAR}::DOUBLE AND normal <> best_normal GROUP BY query),
+e AS (SELECT k.query, product, CASE WHEN place <= ties + 1 THEN least(score, {CAP}::DOUBLE) ELSE score END AS score FROM k LEFT JOIN t USING (query)),
+d AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, product) AS INTEGER) AS rank, product, score FROM e QUALIFY rank <= 5)
 SELECT *, CASE WHEN score >= {MATCHED} THEN 'Matched' WHEN score >= {REVIEW} THEN 'Needs review' ELSE 'Not reliable enough' END AS label, score < {MATCHED} AS needs_review FROM d"""
 
 
@@ -83,9 +94,12 @@ def attribute_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price rows without repeats: the first of a name, sku and section, whatever the case."""
-    w = Window.partitionBy(F.lower("product"), F.lower("sku"), F.lower("section")).orderBy("id")
-    return price_records(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r = 1").select("id", "product", "sku", "section", "price")
+    """Price rows without repeats: the first of a name, sku, unit (whatever the case; a missing sku or unit is an empty one) and price."""
+    unit = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("id") % len(SPELLINGS) + 1).cast("int"))
+    rows = price_records(spark, sf_dir).withColumn("unit", unit)
+    key = F.struct(F.lower("product").alias("p"), F.coalesce(F.lower("sku"), F.lit("")).alias("s"), F.coalesce(F.lower("unit"), F.lit("")).alias("u"), "price")
+    kept = rows.groupBy(key.alias("key")).agg(F.min(F.struct("id", "product", "sku", "section", "unit", "price")).alias("row"))
+    return kept.select("row.*")
 
 
 _UNIT = f"list_extract([{', '.join(map(quoted, SPELLINGS))}], CAST(id % {len(SPELLINGS)} + 1 AS INTEGER))"
@@ -100,5 +114,5 @@ SQL = {
     "rank_topk": RANKED_SQL,
     "ilike_all_terms": f"WITH r AS ({PRICE_RECORDS_SQL}), x AS (SELECT id, {tokens_sql(normalize_n1_sql('text'))} AS w FROM r), q AS (SELECT t AS query, {tokens_sql(normalize_n1_sql('t'))} AS w FROM (SELECT DISTINCT product AS t FROM r WHERE product IS NOT NULL)) SELECT query, id FROM q JOIN x ON len(q.w) > 0 AND list_has_all(x.w, q.w)",
     "attr_containment": f"WITH r AS ({PRICE_RECORDS_SQL}) SELECT id, count(*) OVER (PARTITION BY section, size) - 1 AS matches, min(price) OVER (PARTITION BY section, size) AS lowest FROM r",
-    "row_dedupe_first_wins": f"WITH r AS ({PRICE_RECORDS_SQL}) SELECT id, product, sku, section, price FROM r QUALIFY row_number() OVER (PARTITION BY lower(product), lower(sku), lower(section) ORDER BY id) = 1",
+    "row_dedupe_first_wins": f"WITH r AS ({PRICE_RECORDS_SQL}) SELECT id, product, sku, section, {_UNIT} AS unit, price FROM r QUALIFY row_number() OVER (PARTITION BY lower(product), coalesce(lower(sku), ''), lower({_UNIT}), price ORDER BY id) = 1",
 }

@@ -47,3 +47,19 @@ def test_lists(spark):
 @pytest.mark.parametrize(("value", "want"), [(0.0, "₹0.00"), (999.5, "₹999.50"), (1000.0, "₹1,000.00"), (1234567.8, "₹12,34,567.80"), (-100000.0, "-₹1,00,000.00"), (None, None)])
 def test_rupees(spark, value, want):
     assert spark.range(1).select(format_inr(F.lit(value).cast("double"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("scores", "want"), [
+    ([0.90, 0.83], [0.90, 0.83]), ([0.84, 0.83], [0.84, 0.83]), ([0.95, 0.90, 0.86], [0.86, 0.84, 0.84]), ([0.95, 0.90, 0.88, 0.70], [0.84, 0.84, 0.84, 0.70]), ([0.95], [0.95]),
+])
+def test_near_ties_are_capped(spark, scores, want):
+    """Only alternatives that match themselves count; who passes the capped ones moves up."""
+    rows = [("q", f"name {i}", s) for i, s in enumerate(scores)]
+    got = search.capped_five(spark.createDataFrame(rows, "query string, product string, score double")).orderBy("rank").collect()
+    assert [r.score for r in got] == want and [r["rank"] for r in got] == list(range(1, len(want) + 1)) and all(r.needs_review == (r.score < 0.85) for r in got)
+
+
+def test_same_text_is_no_near_tie(spark):
+    rows = [("q", "6 sq.mm cable", 0.95), ("q", "6 Sqmm Cable", 0.94), *(("p", f"n {i}", 0.9 - i / 1000) for i in range(7))]
+    got = search.capped_five(spark.createDataFrame(rows, "query string, product string, score double")).collect()
+    assert sorted(r.score for r in got if r.query == "q") == [0.94, 0.95] and [r.score for r in got if r.query == "p"] == [0.84] * 5
