@@ -29,7 +29,7 @@ SLACK = 0.02
 #: Bytes of text that are tokenized at once (one longer text: as many as it has).
 CHUNK_BYTES = 2 << 20
 #: Words that a worker remembers with their ids, in Arrow and numpy arrays (about 40 bytes each); it begins anew beyond.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Latin letters that lower-casing keeps letters and that no normal form takes apart.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others in order from 256 on.
@@ -64,11 +64,13 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids for c in ".,"}
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.starts, self.lengths, self.ids = pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        """Known keys: words of letters in lower case, others as they are; the first two are the stops."""
+        self.keys, self.starts, self.lengths, self.ids = pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        for c in ".,":
+            self._learn(pa.array([c], pa.large_string()))
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -76,53 +78,50 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of distinct words, their number for each)."""
-        base = pc.replace_substring_regex(words, f"^([{_LETTERS}]+)[.,]$", r"\1")
-        plain = np.asarray(pc.match_substring_regex(base, f"^[{_LETTERS}]+$"))
-        low = pc.utf8_lower(base.filter(pa.array(plain))).dictionary_encode()
+    def _learn(self, keys: pa.Array) -> pa.Array:
+        """Adds distinct keys to the known ones; returns them in the order in which they were added."""
+        plain = pc.match_substring_regex(keys, f"^[{_LETTERS}]+$")
+        simple, rest = keys.filter(plain), keys.filter(pc.invert(plain))
         tokenize, flat, n = self.model.tokenize, array("I"), []
-        for w in low.dictionary.to_pylist():
+        for w in simple.to_pylist():
             found = tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))
             flat.extend([t.id for t in found])
             n.append(len(found))
-        stops = words.filter(pa.array(plain))
-        for c in ".,":  # kept as two more words of the model
-            flat.extend(self.stops[c])
-            n.append(len(self.stops[c]))
-        rest = words.filter(pa.array(~plain)).to_pylist()
-        for at in range(0, len(rest), 4096):
-            for e in self.tok.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False):
+        words = rest.to_pylist()
+        for at in range(0, len(words), 4096):
+            for e in self.tok.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
                 flat.extend(e.ids)
                 n.append(len(e.ids))
-        ids, n = np.frombuffer(flat, np.uint32), np.array(n, np.int64)
-        starts, k = np.cumsum(n) - n, len(low.dictionary)
-        # two parts a word: its letters and its stop, or all of it and nothing
-        part, stop = np.empty(len(words), np.int64), np.full(len(words), -1, np.int64)
-        part[plain], part[~plain] = low.indices.to_numpy(), k + 2 + np.arange(len(rest))
-        stop[plain] = np.where(np.asarray(pc.ends_with(stops, ".")), k, np.where(np.asarray(pc.ends_with(stops, ",")), k + 1, -1))
-        parts = np.column_stack([part, stop]).ravel()
-        sizes = np.where(parts < 0, 0, n[parts])
-        return ids[ranges(starts[parts], sizes)], sizes.reshape(-1, 2).sum(1)
-
-    def _places(self, words: pa.Array) -> np.ndarray:
-        """Where in starts and lengths each of the distinct words is."""
-        if len(self.words) > CACHE_WORDS:
+        n = np.array(n, np.int64)
+        new = pa.concat_arrays([simple, rest])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.ids = np.concatenate([self.ids, np.frombuffer(flat, np.uint32)])
+        self.keys = pa.concat_arrays([self.keys, new])
+        return new
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """Where in starts and lengths each of the distinct keys is."""
+        if len(self.keys) > CACHE_WORDS:
             self.forget()
-        at = pc.index_in(words, value_set=self.words)
+        at = pc.index_in(keys, value_set=self.keys)
         if at.null_count:
-            new = words.filter(pc.is_null(at))
-            ids, n = self._ids(new)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
-            self.lengths = np.concatenate([self.lengths, n])
-            self.ids = np.concatenate([self.ids, ids])
-            at = at.to_numpy(zero_copy_only=False)
-            places = np.where(np.isnan(at), 0, at).astype(np.int64)
-            places[np.isnan(at)] = len(self.words) + np.arange(len(new))
-            self.words = pa.concat_arrays([self.words, new])
-            return places
+            base = len(self.keys)
+            new = self._learn(keys.filter(pc.is_null(at)))
+            at = pc.coalesce(at, pc.add(pc.index_in(keys, value_set=new), pa.scalar(base, pa.int32())))
         return at.to_numpy(zero_copy_only=False).astype(np.int64)
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct words, their number for each). Two parts a word: its letters and its stop, or all of it and nothing."""
+        base = pc.replace_substring_regex(words, f"^([{_LETTERS}]+)[.,]$", r"\1")
+        plain = pc.match_substring_regex(base, f"^[{_LETTERS}]+$")
+        keys = pc.if_else(plain, pc.utf8_lower(base), words).dictionary_encode()
+        stopped = pc.not_equal(pc.binary_length(base), pc.binary_length(words))
+        stop = np.where(np.asarray(stopped), np.where(np.asarray(pc.ends_with(words, ".")), 0, 1), -1)
+        parts = np.column_stack([self._places(keys.dictionary)[keys.indices.to_numpy()], stop]).ravel()
+        sizes = np.where(parts < 0, 0, self.lengths[parts])
+        return self.ids[ranges(self.starts[parts], sizes)], sizes.reshape(-1, 2).sum(1)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin and the last one's end); texts: large strings without nulls."""
         odd = pa.array(np.zeros(len(texts), bool))
@@ -133,9 +132,10 @@ class WordEncoder:
             texts = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        word = self._places(coded.dictionary)[coded.indices.to_numpy()]
-        n = self.lengths[word]
-        ids = self.ids[ranges(self.starts[word], n)]
+        known, sizes = self._words(coded.dictionary)
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ids = known[ranges((np.cumsum(sizes) - sizes)[word], n)]
         bounds = np.concatenate([[0], np.cumsum(n)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if whole:
             parts, sizes = [], np.diff(bounds)
@@ -176,13 +176,13 @@ class Packer:
     def pack(self, last: bool) -> Iterator[list[tuple]]:
         """Bins of the pool; the last, not full one stays in the pool unless it is the task's end."""
         pieces, self.pool, self.held = self.pool, [], 0
-        need = self.demand(pieces)
+        need = np.asfortranarray(self.demand(pieces))
         alive = np.ones(len(pieces), bool)
         weights = need.mean(0) / self.limits**2 if len(pieces) else self.limits
         while alive.any():
             room, held = self.limits.copy(), []
             while True:
-                fits = alive & (need <= room).all(1)
+                fits = alive & (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2])
                 if not fits.any():
                     break
                 best = int(np.argmax(np.where(fits, need @ (weights * room), -1.0)))
