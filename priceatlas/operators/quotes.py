@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from priceatlas.functions.running import running_start
 from priceatlas.functions.text import round2, round2_sql
-from priceatlas.llm.common import running_start
 from priceatlas.plans.entities import ITEMS_SQL, QUOTATIONS_SQL, quotation_items, quotations, table
 
 
