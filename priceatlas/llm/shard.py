@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceatlas.llm.common import buckets_for, materialize, number_rows, running_start
+from priceatlas.functions.running import running_start
+from priceatlas.llm.common import buckets_for, materialize, number_rows
 
 #: Rounds without a move, each with other ties, after which propagation ends.
 IDLE = 3
