@@ -60,9 +60,11 @@ def quoted(text: str) -> str:
 
 
 def normalize_n1(c: Column) -> Column:
+    """No rewrite keeps or asks for a character beyond ASCII but ×. The others become ~ first, so that Java's plain word boundary, much faster than looking around, knows ASCII words alone."""
     c = F.translate(F.lower(F.coalesce(c, F.lit(""))), "\u00a0", " ")
+    c = F.regexp_replace(c, r"[^\x00-\x7F×]", "~")
     for pattern, to in N1_REWRITES:
-        c = F.regexp_replace(c, ascii_words(pattern), to)
+        c = F.regexp_replace(c, pattern, to)
     return F.trim(c)
 
 
@@ -83,6 +85,11 @@ def unique_text(values: Column) -> Column:
     return F.filter(clean, lambda v, i: F.array_position(F.transform(clean, F.lower), F.lower(v)) == i + 1)
 
 
+def unique_text_sql(values: str) -> str:
+    clean = f"list_filter(list_transform({values}, lambda v: trim(regexp_replace(coalesce(v, ''), '\\s+', ' ', 'g'))), lambda v: v <> '')"
+    return f"list_filter({clean}, lambda v, i: list_position(list_transform({clean}, lambda u: lower(u)), lower(v)) = i)"
+
+
 def tokens(normal: Column) -> Column:
     """Distinct words of a normalized text, in order, without stop words and single letters."""
     words = F.filter(F.split(normal, " "), lambda w: (w != "") & ~w.isin(STOP_WORDS) & ((F.length(w) >= 2) | w.rlike("^[0-9]$")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceatlas.functions.text import format_inr, normalize_n1, trigrams, unique_text
-from priceatlas.operators import catalogue, engine, ingest, quotes, search
+from priceatlas.operators import canonical, catalogue, engine, ingest, quotes, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def rows(frame):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame)
 
 
-MODULES = [quotes, search, catalogue, ingest, engine]
+MODULES = [quotes, search, catalogue, ingest, canonical, engine]
 
 
 @pytest.mark.parametrize("name", [n for m in MODULES for n in m.SQL])
@@ -63,3 +63,31 @@ def test_same_text_is_no_near_tie(spark):
     rows = [("q", "6 sq.mm cable", 0.95), ("q", "6 Sqmm Cable", 0.94), *(("p", f"n {i}", 0.9 - i / 1000) for i in range(7))]
     got = search.capped_five(spark.createDataFrame(rows, "query string, product string, score double")).collect()
     assert sorted(r.score for r in got if r.query == "q") == [0.94, 0.95] and [r.score for r in got if r.query == "p"] == [0.84] * 5
+
+
+def grid(spark, rows):
+    return spark.createDataFrame([(1, 0, i, r) for i, r in enumerate(rows)], "id long, table_no int, row_no int, cells array<string>")
+
+
+def test_canonical_cells_of_a_matrix(spark):
+    """Carried heads, descriptors by their head, a row header from above, specifications that are no prices. Numbers of cores read as pieces and thus as prices (a known quirk)."""
+    rows = [["Conductor area", "No. of Cores", "Rate", "", "Wattage"], ["6 sq.mm", "2", "₹ 120", "₹ 130", "40"], ["", "4", "$ 150", None, "60"]]
+    got = {(r.row_no, r.col_no): r for r in canonical.canonical_cells(grid(spark, rows), 1).collect()}
+    assert sorted(k for k, r in got.items() if r.is_price) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2)] and (2, 3) not in got and (0, 3) not in got
+    assert got[1, 3].column_headers == ["Rate"] and got[1, 2].row_headers == ["6 sq.mm"] and got[2, 2].row_headers == ["6 sq.mm"]
+    assert got[2, 2].currency == "USD" and got[1, 2].currency == "INR"
+    assert [(a.name, a.value, a.unit) for a in got[1, 2].attributes] == [("size", "6", "sqmm")] * 3
+
+
+def test_canonical_cells_header_quirk_and_empty_tables(spark):
+    """Data rows with words of heads among the first four count as heads; tables without cells give nothing."""
+    rows = [["Item", "Rate"], ["plain", "10"], ["coil of wire", "20"], ["plain", "30"]]
+    assert [(r.row_no, r.col_no) for r in canonical.canonical_cells(grid(spark, rows)).where("is_price").collect()] == [(3, 1)]
+    assert canonical.canonical_cells(grid(spark, rows), 1).where("is_price").count() == 3
+    assert canonical.canonical_cells(grid(spark, [[], None])).count() == 0 and canonical.canonical_cells(grid(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [("rr-Kabel and KEI", "RR Kabel"), ("a kei b abb", "KEI"), ("L & T", "L&T"), ("", None), (None, None), ("none", None)])
+def test_vendor_of(spark, text, want):
+    got = spark.range(1).select(canonical.vendor_of(F.lit(text).cast("string"), canonical.VENDORS)["name"]).first()[0]
+    assert got == want
