@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceatlas.functions.text import format_inr, normalize_n1, trigrams, unique_text
-from priceatlas.operators import canonical, catalogue, engine, ingest, quotes, search
+from priceatlas.operators import canonical, catalogue, engine, ingest, quotes, search, workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def rows(frame):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame)
 
 
-MODULES = [quotes, search, catalogue, ingest, canonical, engine]
+MODULES = [quotes, search, catalogue, ingest, canonical, engine, workspace]
 
 
 @pytest.mark.parametrize("name", [n for m in MODULES for n in m.SQL])
@@ -91,3 +91,28 @@ def test_canonical_cells_header_quirk_and_empty_tables(spark):
 def test_vendor_of(spark, text, want):
     got = spark.range(1).select(canonical.vendor_of(F.lit(text).cast("string"), canonical.VENDORS)["name"]).first()[0]
     assert got == want
+
+
+def test_answer_texts(spark):
+    """A clear match, four that need a check (three are shown), one with alternatives and one without."""
+    cand = "struct<score:double,needs_review:boolean,said:string,phrase:string>"
+    near = [(0.45, True, '"x"', "INR 5"), (0.4, True, '"y"', "INR 6"), (0.36, True, '"z"', "INR 7"), (0.2, True, '"w"', "INR 8")]
+    rows = [(1, 1, "a", [(0.9, False, '"A"', "INR 1")])] + [(1, n, f"r{n}", [(0.7 if n < 4 else 0.55, True, f'"R{n}"', "INR 2")]) for n in range(2, 6)] + [(1, 6, "u", near), (1, 7, "v", []), (2, 1, "v", [])]
+    items = spark.createDataFrame(rows, f"id long, line_no int, query string, cands array<{cand}>")
+    got = {r.id: r for r in workspace.answers_of(workspace.item_lines(items)).collect()}
+    assert (got[1].matched, got[1].review, got[1].unresolved) == (1, 4, 2)
+    parts = got[1].answer.split("\n\n")
+    assert parts[0] == "Found 1 item ready to add to the quote." and parts[1].split("\n")[0] == "4 possible matches need a quick check before adding:"
+    assert parts[1].split("\n")[1] == '- r2: possible match "R2" at INR 2. Please check it before adding.' and parts[1].split("\n")[-1] == "- 1 more item shown in the cards below."
+    assert '"x" at INR 5; "y" at INR 6; plus 1 more possible match.' in parts[2] and parts[2].endswith(workspace.NO_PRICE) and parts[3] == workspace.SOME
+    assert got[2].answer.split("\n\n")[-1] == workspace.NOTHING
+
+
+@pytest.mark.parametrize(("text", "want"), [("a" * 97, '"' + "a" * 93 + '..."'), (" a  b ", '"a b"'), ("", None), (None, None)])
+def test_quoted_summary(spark, text, want):
+    assert spark.range(1).select(workspace.quoted_summary(F.lit(text).cast("string"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("FR-LSH x", "FR"), ("fr ls h wire", "FRLSH"), ("FRLS", "FRLS"), ("HFFR 2.5", "HFFR"), ("fr wire", "FR"), ("fry", None)])
+def test_wire_kind(spark, text, want):
+    assert spark.range(1).select(workspace.wire_kind(F.lit(text))).first()[0] == want
