@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceatlas.functions.text import format_inr, normalize_n1, trigrams, unique_text
-from priceatlas.operators import canonical, catalogue, engine, ingest, quotes, search, workspace
+from priceatlas.operators import canonical, catalogue, engine, ingest, quotes, recall, search, workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def rows(frame):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame)
 
 
-MODULES = [quotes, search, catalogue, ingest, canonical, engine, workspace]
+MODULES = [quotes, search, recall, catalogue, ingest, canonical, engine, workspace]
 
 
 @pytest.mark.parametrize("name", [n for m in MODULES for n in m.SQL])
@@ -116,3 +116,26 @@ def test_quoted_summary(spark, text, want):
 @pytest.mark.parametrize(("text", "want"), [("FR-LSH x", "FR"), ("fr ls h wire", "FRLSH"), ("FRLS", "FRLS"), ("HFFR 2.5", "HFFR"), ("fr wire", "FR"), ("fry", None)])
 def test_wire_kind(spark, text, want):
     assert spark.range(1).select(workspace.wire_kind(F.lit(text))).first()[0] == want
+
+
+@pytest.mark.parametrize(("query", "words", "want"), [("a b", "a x b", 0.05), ("a b", "a b a", 0.2), ("a b", "a a b", 0.1), ("a b", "a", 0.0), ("a", "a x a", 0.2), ("a b", "", 0.0), ("a b c", "a b x x c", 0.1 / 3)])
+def test_cover_density(spark, query, words, want):
+    found = spark.range(1).select(recall.cover_density(F.split(F.lit(query), " "), recall.words_of(F.lit(words)))).first()[0]
+    assert found == pytest.approx(want)
+
+
+def test_hybrid_recall_of_few_records(spark):
+    items = spark.createDataFrame([(1, "armoured cable 4 core", "X-1"), (2, "junction box", "zq"), (3, None, None), (4, "", "armoured cable"), (5, "junction box", "zq"), (6, "switch", "aa armoured cable bb")], "id long, text string, sku string")
+    queries = spark.createDataFrame([("armoured cable",), ("",), ("  ",), ("the junction",), ("bo",)], "query string")
+    found = {}
+    for r in recall.recall(queries, items).collect():
+        found.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    found = {q: [i for _, i in sorted(v)] for q, v in found.items()}
+    # the sku that is the query comes first; a sku may hold the query; two letters are held by a compact text
+    assert found == {"armoured cable": [4, 1, 6], "the junction": [2, 5], "bo": [2, 5]}
+
+
+def test_hybrid_recall_of_empty_tables(spark):
+    items, queries = spark.createDataFrame([], "id long, text string, sku string"), spark.createDataFrame([("a",)], "query string")
+    assert recall.recall(queries, items).count() == 0
+    assert recall.recall(queries.limit(0), spark.createDataFrame([(1, "a", "a")], "id long, text string, sku string")).count() == 0
