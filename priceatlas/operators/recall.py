@@ -95,9 +95,10 @@ def recall(queries: DataFrame, items: DataFrame) -> DataFrame:
     queries: query (distinct, not null). items: id, text, sku (null: empty). A record is recalled if it has all words of the query, is similar to it, covers it, one compact
     text holds the other, or its sku is similar to the query or holds it. First come records whose sku is the query, then by score, then by id. Empty queries find nothing.
     """
-    queries = queries.withColumn("normal", normalize_n2(F.col("query"))).where("normal <> ''")
+    # as results of a grouping, the rewrites run once a row: conditions on them cannot move to the scan, where they would run again
+    queries = queries.groupBy("query").agg(F.max(normalize_n2(F.col("query"))).alias("normal")).where("normal <> ''")
     queries = queries.select("query", words_of(F.col("normal")).alias("qw"), F.replace("normal", F.lit(" "), F.lit("")).alias("qc"), trigrams(F.col("normal")).alias("qg"), trigrams(F.col("query")).alias("qs"))
-    rows = items.select("id", normalize_n2(F.col("text")).alias("item"), F.coalesce("sku", F.lit("")).alias("sku"))
+    rows = items.groupBy("id", "text", "sku").agg(F.max(normalize_n2(F.col("text"))).alias("item")).select("id", "item", F.coalesce("sku", F.lit("")).alias("sku"))
     texts = rows.select("item").distinct().select("item", words_of(F.col("item")).alias("iw"), F.replace("item", F.lit(" "), F.lit("")).alias("ic"), trigrams(F.col("item")).alias("ig"))
     skus = rows.select("sku").distinct().select("sku", trigrams(F.col("sku")).alias("sg"))
 
