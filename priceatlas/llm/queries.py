@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceatlas.llm import language_id, toxicity
+from priceatlas.llm.agenda import encode_documents
 from priceatlas.llm.audio_match import fingerprints, match, melodies
 from priceatlas.llm.chat_format import events_of, format_chats, read_back
+from priceatlas.llm.divergence import divergence
 from priceatlas.llm.html_extract import extract_main_text
 from priceatlas.llm.near_dedup import near_duplicates
 from priceatlas.llm.pack import pack_documents
 from priceatlas.llm.shard import balanced_shards
 from priceatlas.llm.source_mix import poisson_mix
 from priceatlas.llm.topk import exact_topk
+from priceatlas.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +130,42 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+_SHARE = "1 + CAST(1000000000 AS HUGEINT) * ({n} + 2) // ({total} + 2 * v)"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+s AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY 1, 2),
+g AS (SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, sum(coalesce(total, 0)) OVER (PARTITION BY lang) AS lang_total
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN s USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, v, lang_total, {_SHARE.format(n="coalesce(n.n, 0)", total="total")} AS p
+      FROM g JOIN k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+q AS (SELECT lang, term, any_value({_SHARE.format(n="ln", total="lang_total")}) AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang, term) AS ln FROM p) GROUP BY 1, 2),
+a AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY 1, 2, 3),
+b AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(a.value, 0) AS BIGINT) AS value
+      FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+      UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM b)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_agenda_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_site_templates": op1_site_templates,
     "op2_poisson_mix": op2_poisson_mix,
@@ -138,5 +177,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_audio_match": op9_audio_match,
     "op10_norm_buckets": op10_norm_buckets,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_agenda_encode": op12_agenda_encode,
+    "op13_whitening": op13_whitening,
 }
-SQL = {"op2_poisson_mix": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_norm_buckets": OP10_SQL}
+SQL = {"op2_poisson_mix": OP2_SQL, "op3_chat_format": OP3_SQL, "op10_norm_buckets": OP10_SQL, "op11_source_divergence": OP11_SQL}
