@@ -1,9 +1,12 @@
 """Source divergence audit by chunk factorization: which sources of a language use other terms than the rest of it, and which terms.
 
-A task counts the white-space chunks of each document and adds them up over its batch: occurrences by (lang, source, chunk), and by
-(lang, chunk) the documents of the batch that hold it. Every globally distinct chunk is then taken apart into terms once, and the terms
-are joined back to both: occurrences by chunk, documents by chunk and batch, so that a frequent chunk is a row a batch and not a row a
-document. Chunks that are in more than one of HOT batch rows are few by counting; they meet their terms by broadcast, not by a shuffle.
+A first pass over the texts counts the documents of each white-space chunk. Every globally distinct chunk is taken apart into terms once;
+the documents of a term's chunks, added up, are the most that can hold it, so terms (and chunks) that cannot reach the least number leave
+here, most of a corpus' distinct chunks among them. A second pass counts the chunks that are left: occurrences by (lang, source, chunk), and
+by (lang, chunk) the documents of a block that hold it. The terms are joined back to both, so that a frequent chunk is a row a block and
+not a row a document; documents that hold a term in several chunks are told apart inside the block. Chunks with more than one of HOT rows
+are few by counting; they meet their terms by broadcast, not by a shuffle. What is left is known to tasks by a bit table of fixed size, which
+lets some others pass; the joins are exact.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,10 @@ from priceatlas.llm.common import BROADCAST_ROWS, give_back, materialize, small_
 #: A term: letters A-Z and characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text that a task counts at once (one longer text: as many as it has).
+BLOCK_BYTES = 16 << 20
+#: Words of 64 bits in a row of the bit table, and its rows: 8 MB in all.
+BIT_WORDS, BIT_ROWS = 64, 1 << 14
 #: Chunks with at least one of so many rows of the documents' side are hot: never more than so many chunks.
 HOT = 1000
 #: Sources of a tile: two tiles and one term are compared at once.
@@ -29,44 +37,120 @@ TILE = 128
 #: Terms that a task compares at once.
 TERM_ROWS = 1024
 
-_COUNTED = "lang string, source string, chunk string, n long, block long, docs array<int>"
+def bit_table(keys: DataFrame, key: str) -> DataFrame:
+    """bit_row, words: a bit for the hash of each key; never more than BIT_ROWS rows of BIT_WORDS words, however many keys there are."""
+    h = F.xxhash64(key)
+    bits = keys.select(_bit_row(h).alias("bit_row"), _bit_word(h).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), _bit(h)).alias("bit"))
+    words = bits.groupBy("bit_row", "word").agg(F.bit_or("bit").alias("bits")).groupBy("bit_row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(BIT_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    return materialize(words.select("bit_row", every.alias("words")), "bit-table")
+
+
+def _bit_row(h: Column) -> Column:
+    return (F.shiftrightunsigned(h, 12) % BIT_ROWS).cast("int")
+
+
+def _bit_word(h: Column) -> Column:
+    return (F.shiftrightunsigned(h, 6) % BIT_WORDS).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return (h.bitwiseAND(F.lit(63).cast("long"))).cast("int")
+
+
+def may_hold(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Rows of df whose key may be in the bit table: all that are in it, and few others."""
+    h = F.xxhash64(key)
+    set_ = F.call_function("shiftrightunsigned", F.element_at("words", _bit_word(h) + 1), _bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1
+    return df.withColumn("bit_row", _bit_row(h)).join(F.broadcast(bits), "bit_row").where(set_).drop("bit_row", "words")
 
 
-def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, source, chunk, n) and rows (lang, chunk, block, docs) of each batch; docs are places in the batch."""
-    fields = [("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("block", pa.int64()), ("docs", pa.list_(pa.int32()))]
-    block = TaskContext.get().partitionId() << 32
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The batches in blocks of about so many bytes of text."""
+    held, n = [], 0
     for b in batches:
-        lang, source = (b.column(c).dictionary_encode() for c in ("lang", "source"))
-        found = pc.ascii_split_whitespace(b.column("text").cast(pa.large_string()))
-        sizes = np.diff(found.offsets.to_numpy())
-        coded = found.flatten().dictionary_encode()
-        words, k = coded.dictionary, max(1, len(coded.dictionary))
-        code = coded.indices.to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(b.num_rows), sizes)
-        filled = np.asarray(pc.greater(pc.binary_length(words), 0))[code] if len(words) else np.zeros(0, bool)
-        pair, n = np.unique((doc * k + code)[filled], return_counts=True)
-        doc, code = pair // k, pair % k
-        lang_of, source_of = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
-        group = (lang_of * len(source.dictionary) + source_of)[doc] * k + code
-        keys, at = np.unique(group, return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, at, n)
-        g, c = keys // k, keys % k
-        yield pa.RecordBatch.from_pydict({
-            "lang": lang.dictionary.take(pa.array(g // max(1, len(source.dictionary)))), "source": source.dictionary.take(pa.array(g % max(1, len(source.dictionary)))),
-            "chunk": words.take(pa.array(c)).cast(pa.string()), "n": total, "block": pa.nulls(len(keys), pa.int64()), "docs": pa.nulls(len(keys), pa.list_(pa.int32())),
-        }, schema=pa.schema(fields))
-        by_lang = lang_of[doc] * k + code
-        order = np.argsort(by_lang, kind="stable")  # documents stay in order
-        keys, starts = np.unique(by_lang[order], return_index=True)
-        offsets = pa.array(np.append(starts, len(order)).astype(np.int32))
-        yield pa.RecordBatch.from_pydict({
-            "lang": lang.dictionary.take(pa.array(keys // k)), "source": pa.nulls(len(keys), pa.string()), "chunk": words.take(pa.array(keys % k)).cast(pa.string()),
-            "n": pa.nulls(len(keys), pa.int64()), "block": np.full(len(keys), block), "docs": pa.ListArray.from_arrays(offsets, pa.array(doc[order].astype(np.int32))),
-        }, schema=pa.schema(fields))
-        block += 1
-        give_back()
+        held.append(b)
+        n += b.column("text").nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+            give_back()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+    give_back()
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _chunks(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct chunks, number of a document and of a chunk for each place where one is)."""
+    found = pc.ascii_split_whitespace(_one(texts.cast(pa.large_string())))
+    coded = found.flatten().dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+    if len(code):
+        filled = np.asarray(pc.greater(pc.binary_length(coded.dictionary), 0))[code]
+        doc, code = doc[filled], code[filled]
+    return coded.dictionary, doc, code
+
+
+def _document_task(size: int):
+    """(chunk, d): documents of a block that hold the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _blocks(batches, size):
+            words, doc, code = _chunks(t.column("text"))
+            pairs = np.unique(doc * max(1, len(words)) + code) % max(1, len(words))
+            d = np.bincount(pairs, minlength=len(words))
+            yield from pa.table({"chunk": words.cast(pa.string()).filter(pa.array(d > 0)), "d": d[d > 0]}).to_batches(65536)
+
+    return run
+
+
+_COUNTED = "lang string, source string, chunk string, n long, block long, docs array<int>"
+
+
+def _count_task(size: int, bits: Broadcast):
+    """Rows (lang, source, chunk, n) and rows (lang, chunk, block, docs) of each block, for chunks of the bit table; docs are places in the block."""
+    text, long, places = pa.string(), pa.int64(), pa.list_(pa.int32())
+    schema = pa.schema([("lang", text), ("source", text), ("chunk", text), ("n", long), ("block", long), ("docs", places)])
+
+    def may(words: pa.Array) -> np.ndarray:
+        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
+        at = bits.value[(h >> np.uint64(12)) % np.uint64(BIT_ROWS), (h >> np.uint64(6)) % np.uint64(BIT_WORDS)]
+        return (at >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for t in _blocks(batches, size):
+            lang, source = (_one(t.column(c)).dictionary_encode() for c in ("lang", "source"))
+            words, doc, code = _chunks(t.column("text"))
+            left = may(words)[code] if len(code) else np.zeros(0, bool)
+            k, wide = max(1, len(words)), max(1, len(source.dictionary))
+            pair, n = np.unique(doc[left] * k + code[left], return_counts=True)
+            doc, code = pair // k, pair % k
+            lang_of, source_of = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
+            words, none = words.cast(text), lambda m, kind: pa.nulls(m, kind)
+
+            group = (lang_of * wide + source_of)[doc] * k + code
+            order = np.argsort(group, kind="stable")
+            keys, starts = np.unique(group[order], return_index=True)
+            total = np.add.reduceat(n[order], starts) if len(keys) else np.zeros(0, np.int64)
+            g, m = keys // k, len(keys)
+            columns = [lang.dictionary.take(pa.array(g // wide)), source.dictionary.take(pa.array(g % wide)), words.take(pa.array(keys % k)), pa.array(total, long), none(m, long), none(m, places)]
+            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(65536)
+
+            group = lang_of[doc] * k + code
+            order = np.argsort(group, kind="stable")  # documents stay in order
+            keys, starts = np.unique(group[order], return_index=True)
+            m, offsets = len(keys), pa.array(np.append(starts, len(order)).astype(np.int32))
+            columns = [lang.dictionary.take(pa.array(keys // k)), none(m, text), words.take(pa.array(keys % k)), none(m, long), pa.array(np.full(m, block), long), pa.ListArray.from_arrays(offsets, pa.array(doc[order].astype(np.int32)))]
+            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(16384)
+            block += 1
+
+    return run
 
 
 def grouped(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -74,27 +158,36 @@ def grouped(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     return docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
 
-def term_counts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n: occurrences) and (lang, term, documents: rows that hold the term), of rows of grouped(); tables in the shared folder."""
-    rows = materialize(small_batches(texts).mapInArrow(_count_task, _COUNTED), "chunk-counts")
-    used, held = rows.where("n IS NOT NULL").select("lang", "source", "chunk", "n"), rows.where("block IS NOT NULL").select("lang", "chunk", "block", "docs")
-    total = held.count()
-    chunks = rows.groupBy("chunk").agg(F.count("block").alias("blocks"))
+def term_counts(texts: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, n: occurrences) and (lang, term, documents: rows that hold the term), of rows of grouped(); tables in the shared folder.
+
+    Terms that fewer than least rows of any language hold may be absent."""
+    spark, texts = texts.sparkSession, small_batches(texts)
+    seen = texts.select("text").mapInArrow(_document_task(BLOCK_BYTES), "chunk string, d long")
+    chunks = materialize(seen.groupBy("chunk").agg(F.sum("d").alias("d")), "chunks")
     found = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    each = chunks.select("chunk", (F.col("blocks") * HOT > total).alias("hot"), F.explode_outer(found).alias("term"))
-    terms = materialize(each.groupBy("chunk", "hot", "term").agg(F.count(F.lit(1)).alias("times")), "chunk-terms")
+    most = chunks.select("d", F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.sum("d").alias("most"))
+    able = materialize(most.where(F.col("most") >= least).select("term"), "able-terms")
+    each = may_hold(chunks.select("chunk", F.explode(found).alias("term")), "term", bit_table(able, "term"))
+    terms = materialize(each.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")).join(able, "term").select("chunk", "term", "times"), "chunk-terms")
 
+    bits = np.zeros((BIT_ROWS, BIT_WORDS), np.uint64)
+    for r in bit_table(terms, "chunk").toLocalIterator():
+        bits[r.bit_row] = np.array(r.words, np.int64).view(np.uint64)
+    known = spark.sparkContext.broadcast(bits)
+    rows = materialize(texts.mapInArrow(_count_task(BLOCK_BYTES, known), _COUNTED), "chunk-counts")
+    used, held = rows.where("n IS NOT NULL").select("lang", "source", "chunk", "n"), rows.where("block IS NOT NULL").select("lang", "chunk", "block", "docs")
     by_chunk = used.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-    real = terms.where("term IS NOT NULL").select("chunk", "term", "times")
-    occurrences = by_chunk.join(real, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+    occurrences = by_chunk.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
 
-    hot = terms.where("hot").select("chunk", "hot", "term")
+    often = held.groupBy("chunk").count().where(F.col("count") * HOT > held.count()).select("chunk")  # fewer than HOT
+    hot = materialize(terms.join(F.broadcast(often), "chunk").select("chunk", "term"), "hot-terms")
     if hot.count() <= BROADCAST_ROWS:
         met = held.join(F.broadcast(hot), "chunk", "left")
-        cold = met.where("hot IS NULL").select("lang", "chunk", "block", "docs").join(real, "chunk").select("lang", "block", "term", "docs")
+        cold = met.where("term IS NULL").select("lang", "chunk", "block", "docs").join(terms, "chunk").select("lang", "block", "term", "docs")
         met = met.where("term IS NOT NULL").select("lang", "block", "term", "docs").unionByName(cold)
     else:
-        met = held.join(real, "chunk").select("lang", "block", "term", "docs")
+        met = held.join(terms, "chunk").select("lang", "block", "term", "docs")
     once = met.groupBy("lang", "block", "term").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("d"))
     documents = once.groupBy("lang", "term").agg(F.sum("d").alias("documents"))
     return materialize(occurrences, "term-occurrences"), materialize(documents, "term-documents")
@@ -181,7 +274,7 @@ def divergence(docs: DataFrame, least_documents: int = 10, top: int = 10, prior:
     rows. Ties go by the item's UTF-8 bytes. Texts of any length are counted whole; other columns, whatever their names, are not read.
     """
     texts = grouped(docs, text_col, lang_col, source_col)
-    occurrences, documents = term_counts(texts)
+    occurrences, documents = term_counts(texts, least_documents)
     kept = documents.where(F.col("documents") >= least_documents).select("lang", "term")
     counts = materialize(occurrences.join(kept, ["lang", "term"]), "term-counts")
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
