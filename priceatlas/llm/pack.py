@@ -244,15 +244,15 @@ def _pack_task(tokens: int, segments: int, loss: int, eos: int, path: str, with_
     return run
 
 
-def pack_documents(docs: DataFrame, tokens: int = 4096, segments: int = 256, loss: int | None = None, eos: int = 2, vocabulary: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokens: int = 4096, segments: int | None = None, loss: int | None = None, eos: int = 2, vocabulary: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, little-endian 32-bit): one row per piece.
 
     A null text is an empty one; every document ends with eos, so an empty one is one token. prompt_col: text before text_col whose tokens
     bear no loss, for instruction data (default: none, all tokens bear loss). loss: most loss-bearing tokens of a sequence (default:
-    tokens); segments: most pieces. Repeated rows are packed as often as they come; a null id stays null. An empty table gives no rows.
+    tokens); segments: most pieces (default: tokens, so none too few for any text). Repeated rows are packed as often as they come; a null id stays null. An empty table gives no rows.
     sequence_id is unique, not gapless. Other columns of docs, whatever their names, are not read.
     """
     prompt = F.lit("") if prompt_col is None else F.coalesce(F.col(prompt_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), prompt.alias("prompt"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return small_batches(rows).mapInArrow(_pack_task(tokens, segments, loss or tokens, eos, vocabulary or default_vocabulary(), with_ids), schema)
+    return small_batches(rows).mapInArrow(_pack_task(tokens, segments or tokens, loss or tokens, eos, vocabulary or default_vocabulary(), with_ids), schema)
