@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceatlas.functions.electrical import normalize_n2, normalize_n2_sql
+from priceatlas.functions.stored import stored
 from priceatlas.functions.text import quoted, trigrams, trigrams_sql
 from priceatlas.plans.entities import PRICE_RECORDS_SQL, price_records
 
@@ -98,8 +99,11 @@ def recall(queries: DataFrame, items: DataFrame) -> DataFrame:
     # as results of a grouping, the rewrites run once a row: conditions on them cannot move to the scan, where they would run again
     queries = queries.groupBy("query").agg(F.max(normalize_n2(F.col("query"))).alias("normal")).where("normal <> ''")
     queries = queries.select("query", words_of(F.col("normal")).alias("qw"), F.replace("normal", F.lit(" "), F.lit("")).alias("qc"), trigrams(F.col("normal")).alias("qg"), trigrams(F.col("query")).alias("qs"))
+    queries = stored(queries, "recall-queries")
     rows = items.groupBy("id", "text", "sku").agg(F.max(normalize_n2(F.col("text"))).alias("item")).select("id", "item", F.coalesce("sku", F.lit("")).alias("sku"))
+    rows = stored(rows, "recall-rows")
     texts = rows.select("item").distinct().select("item", words_of(F.col("item")).alias("iw"), F.replace("item", F.lit(" "), F.lit("")).alias("ic"), trigrams(F.col("item")).alias("ig"))
+    texts = stored(texts, "recall-texts")
     skus = rows.select("sku").distinct().select("sku", trigrams(F.col("sku")).alias("sg"))
 
     asked = queries.withColumn("asked", counted(F.col("qw"))).withColumn("none", F.size("asked") == 0).withColumn("asked", F.when(F.col("none"), F.col("qw")).otherwise(F.col("asked")))
@@ -109,12 +113,13 @@ def recall(queries: DataFrame, items: DataFrame) -> DataFrame:
     within = _holding(queries, "qc", texts, "ic").unionByName(_holding(texts.where(F.length("ic") >= LEAST), "ic", queries, "qc")).distinct()
     compact = within.join(queries.select("query", "qc"), "qc").join(texts.select("item", "ic"), "ic").select("query", "item")
     pairs = _alike(queries, "qg", texts, "item", "ig", SIMILAR).unionByName(covered).unionByName(compact).distinct()
+    pairs = stored(pairs, "recall-pairs")
 
     needles = queries.select("query").distinct().withColumn("low", F.lower("query"))
     low = skus.select("sku", F.lower("sku").alias("own"))
     held = _holding(needles, "low", low, "own").join(needles, "low").join(low, "own").select("query", "sku")
     close = _alike(queries, "qs", skus, "sku", "sg", SKU_SIMILAR).join(queries.select("query", "qs"), "query").join(skus, "sku").where(similarity(F.col("qs"), F.col("sg")) > SKU_SIMILAR).select("query", "sku")
-    by_sku = held.unionByName(close).distinct()
+    by_sku = stored(held.unionByName(close).distinct(), "recall-skus")
 
     found = pairs.join(rows, "item").select("query", "id", "item", "sku").unionByName(by_sku.join(rows, "sku").select("query", "id", "item", "sku")).distinct()
     told = found.join(by_sku.withColumn("by_sku", F.lit(True)), ["query", "sku"], "left").join(queries, "query").join(texts, "item").join(skus, "sku")
