@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from priceatlas.functions.text import PRICE_WORDS, ascii_words, quoted
+from priceatlas.functions.text import ascii_words, quoted
 from priceatlas.plans.entities import ITEMS_SQL, quotation_items, table
 from priceatlas.sources import grids
 
