@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceatlas.functions.text import format_inr, normalize_n1, trigrams, unique_text
-from priceatlas.operators import canonical, catalogue, engine, fulltext, hints, ingest, matrices, quotes, recall, search, workspace
+from priceatlas.operators import canonical, catalogue, engine, fulltext, hints, ingest, matrices, pages, quotes, recall, search, workspace
 from priceatlas.streaming import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def rows(frame):
     return sorted(tuple(repr(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in frame)
 
 
-MODULES = [quotes, search, recall, fulltext, hints, catalogue, ingest, matrices, canonical, engine, workspace, sinks]
+MODULES = [quotes, search, recall, fulltext, hints, catalogue, ingest, matrices, pages, canonical, engine, workspace, sinks]
 
 
 @pytest.mark.parametrize("name", [n for m in MODULES for n in m.SQL])
