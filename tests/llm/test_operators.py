@@ -220,16 +220,6 @@ def test_near_duplicates_of_null_rows(spark):
     assert {r.component_id for r in near_dedup.near_duplicates(docs, words=4).collect()} == {2}
 
 
-def test_latency_sorts_no_whole_type(spark):
-    from priceatlas.operators import quotes
-
-    rows = [("a", float(x)) for x in range(1, 21)] + [("a", 19.0)] * 3 + [(None, 3.0), ("b", -2.5), ("b", None)]
-    out = quotes.latency_of(spark.createDataFrame(rows, "event_type string, value double"))
-    assert {r.event_type: (r.n, r.p95) for r in out.collect()} == {"a": (23, 19.0), None: (1, 3.0), "b": (1, -2.5)}
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "row_number" not in plan
-
-
 def test_language(spark, edge, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
