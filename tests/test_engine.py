@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceatlas.functions.electrical import normalize_n2, price_basis, quotation_rate
-from priceatlas.operators import engine, ingest
+from priceatlas.operators import engine, ingest, quotes
 from priceatlas.sources import grids
 
 
@@ -119,3 +119,11 @@ def test_score(spark):
     asked = engine.parse_queries(asked).withColumn("vendor_terms", F.array().cast("array<string>")).withColumn("alias_confidence", F.lit(None).cast("double"))
     got = {r.i: r.score for r in engine.score_candidates(asked.join(own, "key")).collect()}
     assert {i: (CASES[i], s) for i, s in got.items() if not CASES[i][2] <= s <= CASES[i][3]} == {} and len(got) == len(CASES)
+
+
+def test_latency_sorts_no_whole_type(spark):
+    rows = [("a", float(x)) for x in range(1, 21)] + [("a", 19.0)] * 3 + [(None, 3.0), ("b", -2.5), ("b", None)]
+    out = quotes.latency_of(spark.createDataFrame(rows, "event_type string, value double"))
+    assert {r.event_type: (r.n, r.p95) for r in out.collect()} == {"a": (23, 19.0), None: (1, 3.0), "b": (1, -2.5)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
