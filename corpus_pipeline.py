@@ -65,7 +65,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trees, forward sums and bin packing are not SQL; tests compare the stages with plain versions.
+#: Trees, forward sums and bin packing are not SQL; tests hold the stages to their names, columns and kept ids, and the operators to brute force where they can.
 ORACLE_SQL = None
 
 
