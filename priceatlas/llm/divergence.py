@@ -1,12 +1,12 @@
 """Source divergence audit by chunk factorization: which sources of a language use other terms than the rest of it, and which terms.
 
-A first pass over the texts counts the documents of each white-space chunk. Every globally distinct chunk is taken apart into terms once;
-the documents of a term's chunks, added up, are the most that can hold it, so terms (and chunks) that cannot reach the least number leave
-here, most of a corpus' distinct chunks among them. A second pass counts the chunks that are left: occurrences by (lang, source, chunk), and
-by (lang, chunk) the documents of a block that hold it. The terms are joined back to both, so that a frequent chunk is a row a block and
-not a row a document; documents that hold a term in several chunks are told apart inside the block. Chunks with more than one of HOT rows
-are few by counting; they meet their terms by broadcast, not by a shuffle. What is left is known to tasks by a bit table of fixed size, which
-lets some others pass; the joins are exact.
+One pass over the texts counts, by white-space chunk and block of documents, which documents hold the chunk and how often: one row with a
+packed list. Every globally distinct chunk is taken apart into terms once; the documents of a term's chunks, added up, are the most that can
+hold it, so terms (and chunks) that cannot reach the least number leave here, most of a corpus' distinct chunks among them. The terms are
+joined back to the lists, so that a frequent chunk is a row a block and not a row a document; the lists of a term's chunks are merged by
+runs of blocks, where documents that hold it in several chunks count once. Chunks with more than one of HOT rows are few by counting; they
+meet their terms by broadcast, not by a shuffle. What is left is told by a bit table of fixed size, which lets some others pass; the joins
+are exact.
 """
 
 from __future__ import annotations
@@ -16,18 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceatlas.llm.common import BROADCAST_ROWS, give_back, materialize, small_batches
+from priceatlas.llm.common import BROADCAST_ROWS, buckets_for, give_back, materialize, number_rows, small_batches
 
 #: A term: letters A-Z and characters beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task counts at once (one longer text: as many as it has).
 BLOCK_BYTES = 16 << 20
+#: Two to the power of so many blocks of a task are merged at once.
+BUCKET_BITS = 4
 #: Words of 64 bits in a row of the bit table, and its rows: 8 MB in all.
 BIT_WORDS, BIT_ROWS = 64, 1 << 14
 #: Chunks with at least one of so many rows of the documents' side are hot: never more than so many chunks.
@@ -96,63 +97,114 @@ def _chunks(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, doc, code
 
 
-def _document_task(size: int):
-    """(chunk, d): documents of a block that hold the chunk."""
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values, seven bits each, the last of a value below 128; number of bytes of each value)."""
+    width = np.ones(len(values), np.int64)
+    for bits in range(7, 63, 7):
+        width += values >> bits > 0
+    ends = np.cumsum(width)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - width, width)
+    more = at < np.repeat(width, width) - 1
+    return (((np.repeat(values, width) >> (7 * at)) & 127) | (more << 7)).astype(np.uint8), width
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _blocks(batches, size):
-            words, doc, code = _chunks(t.column("text"))
-            pairs = np.unique(doc * max(1, len(words)) + code) % max(1, len(words))
-            d = np.bincount(pairs, minlength=len(words))
-            yield from pa.table({"chunk": words.cast(pa.string()).filter(pa.array(d > 0)), "d": d[d > 0]}).to_batches(65536)
 
-    return run
+def _values(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of _varints, place of the last byte of each)."""
+    ends = np.flatnonzero(raw < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    at = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * at), starts) if len(ends) else np.zeros(0, np.int64), ends
 
 
-_COUNTED = "lang string, source string, chunk string, n long, block long, docs array<int>"
+def _within(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums of the values that begin anew at each of the starts; no stretch is empty."""
+    sums = np.cumsum(values)
+    return sums - np.repeat(sums[starts] - values[starts], sizes)
 
 
-def _count_task(size: int, bits: Broadcast):
-    """Rows (lang, source, chunk, n) and rows (lang, chunk, block, docs) of each block, for chunks of the bit table; docs are places in the block."""
-    text, long, places = pa.string(), pa.int64(), pa.list_(pa.int32())
-    schema = pa.schema([("lang", text), ("source", text), ("chunk", text), ("n", long), ("block", long), ("docs", places)])
+_PACKED = "chunk string, block long, d long, held binary"
 
-    def may(words: pa.Array) -> np.ndarray:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
-        at = bits.value[(h >> np.uint64(12)) % np.uint64(BIT_ROWS), (h >> np.uint64(6)) % np.uint64(BIT_WORDS)]
-        return (at >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+def _count_task(size: int):
+    """(chunk, block, d, held): the documents of a block that hold the chunk, their number and a packed list of them with their occurrences.
+
+    Documents are numbered in the block by group. An entry of the list is two numbers: steps from the last document's place, and steps from its
+    group times 8 plus occurrences less one; more than eight occurrences are several entries of the same place.
+    """
+    schema = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("d", pa.int64()), ("held", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for t in _blocks(batches, size):
-            lang, source = (_one(t.column(c)).dictionary_encode() for c in ("lang", "source"))
             words, doc, code = _chunks(t.column("text"))
-            left = may(words)[code] if len(code) else np.zeros(0, bool)
-            k, wide = max(1, len(words)), max(1, len(source.dictionary))
-            pair, n = np.unique(doc[left] * k + code[left], return_counts=True)
-            doc, code = pair // k, pair % k
-            lang_of, source_of = lang.indices.to_numpy().astype(np.int64), source.indices.to_numpy().astype(np.int64)
-            words, none = words.cast(text), lambda m, kind: pa.nulls(m, kind)
-
-            group = (lang_of * wide + source_of)[doc] * k + code
+            group = _one(t.column("g")).to_numpy()
             order = np.argsort(group, kind="stable")
-            keys, starts = np.unique(group[order], return_index=True)
-            total = np.add.reduceat(n[order], starts) if len(keys) else np.zeros(0, np.int64)
-            g, m = keys // k, len(keys)
-            columns = [lang.dictionary.take(pa.array(g // wide)), source.dictionary.take(pa.array(g % wide)), words.take(pa.array(keys % k)), pa.array(total, long), none(m, long), none(m, places)]
-            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(65536)
-
-            group = lang_of[doc] * k + code
-            order = np.argsort(group, kind="stable")  # documents stay in order
-            keys, starts = np.unique(group[order], return_index=True)
-            m, offsets = len(keys), pa.array(np.append(starts, len(order)).astype(np.int32))
-            columns = [lang.dictionary.take(pa.array(keys // k)), none(m, text), words.take(pa.array(keys % k)), none(m, long), pa.array(np.full(m, block), long), pa.ListArray.from_arrays(offsets, pa.array(doc[order].astype(np.int32)))]
-            yield from pa.Table.from_arrays(columns, schema=schema).to_batches(16384)
+            place = np.empty(len(group), np.int64)
+            place[order] = np.arange(len(group))
+            wide = max(1, len(group))
+            pair, n = np.unique(code * wide + place[doc], return_counts=True)
+            parts = (n + 7) // 8
+            pair, last = np.repeat(pair, parts), np.cumsum(parts) - 1
+            times = np.full(len(pair), 8)
+            times[last] = n - 8 * (parts - 1)
+            code, at = pair // wide, pair % wide
+            g = group[order][at]
+            fresh = np.append(True, code[1:] != code[:-1])[: len(code)]
+            both = np.empty(2 * len(code), np.int64)
+            both[0::2] = np.where(fresh, at, np.diff(at, prepend=0))
+            both[1::2] = np.where(fresh, g, np.diff(g, prepend=0)) * 8 + times - 1
+            raw, width = _varints(both)
+            starts = np.flatnonzero(fresh)
+            cuts = np.append(0, np.cumsum(width))[2 * np.append(starts, len(code))]
+            d = np.add.reduceat(np.append(1, (np.diff(pair) > 0).astype(np.int64))[: len(pair)], starts) if len(starts) else starts
+            held = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw)])
+            columns = [words.take(pa.array(code[starts])).cast(pa.string()), pa.array(np.full(len(starts), block), pa.int64()), pa.array(d, pa.int64())]
+            for z in range(0, len(starts), 16384):
+                yield pa.RecordBatch.from_arrays([*(c.slice(z, 16384) for c in columns), held.slice(z, 16384).cast(pa.binary())], schema=schema)
             block += 1
 
     return run
 
 
+def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, g, n, d) from rows (term, bucket, times, block, held) sorted by term and bucket: a document counts once, whatever chunks of it hold the term."""
+    schema = pa.schema([("term", pa.string()), ("g", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
+
+    def merged(t: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held = _one(t.column("held").cast(pa.large_binary()))
+        bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+        values, ends = _values(np.frombuffer(held.buffers()[2], np.uint8)[bounds[0] : bounds[-1]])
+        upto = np.searchsorted(ends, bounds - bounds[0], "left") // 2  # entries before each row
+        starts, sizes = upto[:-1], np.diff(upto)
+        row = np.repeat(np.arange(len(held)), sizes)
+        place, g = _within(values[0::2], starts, sizes), _within(values[1::2] >> 3, starts, sizes)
+        n = ((values[1::2] & 7) + 1) * t.column("times").to_numpy()[row]
+        run_of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(held))))[row]
+        block = t.column("block").to_numpy()[row]
+        order = np.lexsort((place, block, g, run_of))
+        run_of, g, block, place, n = run_of[order], g[order], block[order], place[order], n[order]
+        other = (np.diff(run_of) != 0) | (np.diff(g) != 0)
+        first = np.flatnonzero(np.append(True, other))
+        d = np.append(True, other | (np.diff(block) != 0) | (np.diff(place) != 0)).astype(np.int64)
+        terms = t.column("term").combine_chunks().take(pa.array(cut)).take(pa.array(run_of[first]))
+        columns = [pa.array(g[first]), pa.array(np.add.reduceat(n, first)), pa.array(np.add.reduceat(d, first))]
+        yield from pa.Table.from_arrays([terms, *columns], schema=schema).to_batches(65536)
+
+    waits: list[pa.RecordBatch] = []
+    for b in batches:
+        waits.append(b)
+        t = pa.Table.from_batches(waits)
+        term, bucket = _one(t.column("term")), t.column("bucket").to_numpy()
+        cut = np.append(0, 1 + np.flatnonzero(np.asarray(pc.not_equal(term[1:], term[:-1])) | (np.diff(bucket) != 0))) if len(t) else np.zeros(0, np.int64)
+        if len(cut) > 1:  # the last key may go on in the next batch
+            yield from merged(t.slice(0, cut[-1]), cut[:-1])
+            waits = t.slice(cut[-1]).combine_chunks().to_batches()
+            give_back()
+    if waits and sum(b.num_rows for b in waits):
+        yield from merged(pa.Table.from_batches(waits), np.zeros(1, np.int64))
+    give_back()
+
+
 def grouped(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """lang, source, text of docs; nulls are empty strings."""
     return docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
@@ -162,35 +214,36 @@ def term_counts(texts: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]
     """(lang, source, term, n: occurrences) and (lang, term, documents: rows that hold the term), of rows of grouped(); tables in the shared folder.
 
     Terms that fewer than least rows of any language hold may be absent."""
-    spark, texts = texts.sparkSession, small_batches(texts)
-    seen = texts.select("text").mapInArrow(_document_task(BLOCK_BYTES), "chunk string, d long")
-    chunks = materialize(seen.groupBy("chunk").agg(F.sum("d").alias("d")), "chunks")
+    pairs = texts.select("lang", "source").distinct().select(F.lit(0).alias("all"), "lang", "source", F.struct("lang", "source").alias("pair"))
+    pairs = materialize(pairs, "groups")
+    count = pairs.count()
+    groups = materialize(number_rows(pairs, ["all"], "pair", buckets_for(count), "g").select("lang", "source", "g"), "group-numbers")
+    near = F.broadcast(groups) if count <= BROADCAST_ROWS else groups
+    numbered = small_batches(texts).join(near, ["lang", "source"]).select("g", "text")
+    rows = materialize(numbered.mapInArrow(_count_task(BLOCK_BYTES), _PACKED), "chunk-documents")
+
+    chunks = materialize(rows.groupBy("chunk").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("blocks")), "chunks")
     found = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     most = chunks.select("d", F.explode(F.array_distinct(found)).alias("term")).groupBy("term").agg(F.sum("d").alias("most"))
     able = materialize(most.where(F.col("most") >= least).select("term"), "able-terms")
-    each = may_hold(chunks.select("chunk", F.explode(found).alias("term")), "term", bit_table(able, "term"))
-    terms = materialize(each.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times")).join(able, "term").select("chunk", "term", "times"), "chunk-terms")
-
-    bits = np.zeros((BIT_ROWS, BIT_WORDS), np.uint64)
-    for r in bit_table(terms, "chunk").toLocalIterator():
-        bits[r.bit_row] = np.array(r.words, np.int64).view(np.uint64)
-    known = spark.sparkContext.broadcast(bits)
-    rows = materialize(texts.mapInArrow(_count_task(BLOCK_BYTES, known), _COUNTED), "chunk-counts")
-    used, held = rows.where("n IS NOT NULL").select("lang", "source", "chunk", "n"), rows.where("block IS NOT NULL").select("lang", "chunk", "block", "docs")
-    by_chunk = used.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-    occurrences = by_chunk.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-
-    often = held.groupBy("chunk").count().where(F.col("count") * HOT > held.count()).select("chunk")  # fewer than HOT
-    hot = materialize(terms.join(F.broadcast(often), "chunk").select("chunk", "term"), "hot-terms")
+    each = may_hold(chunks.select("chunk", "blocks", F.explode(found).alias("term")), "term", bit_table(able, "term"))
+    each = each.groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"), F.first("blocks").alias("blocks"))
+    terms = materialize(each.join(able, "term").select("chunk", "term", "times", "blocks"), "chunk-terms")
+
+    left = may_hold(rows, "chunk", bit_table(terms, "chunk")).select("chunk", "block", "held")
+    columns = ["term", F.shiftright("block", BUCKET_BITS).alias("bucket"), "times", "block", "held"]
+    hot = materialize(terms.where(F.col("blocks") * HOT > rows.count()).drop("blocks"), "hot-terms")  # of fewer than HOT chunks
     if hot.count() <= BROADCAST_ROWS:
-        met = held.join(F.broadcast(hot), "chunk", "left")
-        cold = met.where("term IS NULL").select("lang", "chunk", "block", "docs").join(terms, "chunk").select("lang", "block", "term", "docs")
-        met = met.where("term IS NOT NULL").select("lang", "block", "term", "docs").unionByName(cold)
+        met = left.join(F.broadcast(hot), "chunk", "left")
+        cold = met.where("term IS NULL").select("chunk", "block", "held").join(terms, "chunk").select(*columns)
+        met = met.where("term IS NOT NULL").select(*columns).unionByName(cold)
     else:
-        met = held.join(terms, "chunk").select("lang", "block", "term", "docs")
-    once = met.groupBy("lang", "block", "term").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("d"))
-    documents = once.groupBy("lang", "term").agg(F.sum("d").alias("documents"))
-    return materialize(occurrences, "term-occurrences"), materialize(documents, "term-documents")
+        met = left.join(terms, "chunk").select(*columns)
+    met = met.repartition("term", "bucket").sortWithinPartitions("term", "bucket")
+    merged = met.mapInArrow(_merge_task, "term string, g long, n long, d long").groupBy("g", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    counts = materialize(merged.join(near, "g").select("lang", "source", "term", "n", "d"), "term-occurrences")
+    documents = counts.groupBy("lang", "term").agg(F.sum("d").alias("documents"))
+    return counts.select("lang", "source", "term", "n"), materialize(documents, "term-documents")
 
 
 def _share(count: str, total: str, terms: str, prior: int, scale: int) -> Column:

@@ -72,6 +72,25 @@ def test_divergence_of_hot_chunks_and_edges(spark):
     assert divergence.divergence(docs.limit(1)).count() == 0  # one source, no kept term
 
 
+def test_divergence_over_many_blocks_and_small_batches(spark, prose, monkeypatch):
+    docs = spark.createDataFrame([(i, *r, "t", 1, 2) for i, r in enumerate(prose)], DOCS).repartition(3)
+    monkeypatch.setattr(divergence, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(divergence, "BUCKET_BITS", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a term's lists go on over several batches
+    try:
+        assert sorted(map(tuple, divergence.divergence(docs).collect())) == audit(prose, 10, 10)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_numbers_round_trip():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**55 - 1, 0, 5])
+    raw, width = divergence._varints(values)
+    back, ends = divergence._values(raw)
+    assert back.tolist() == values.tolist() and (np.diff(ends, prepend=-1) == width).all()
+    assert divergence._values(divergence._varints(values[:0])[0])[0].tolist() == []
+
+
 def test_shares_are_exact_beyond_long(spark):
     big = spark.createDataFrame([(9_000_000_000_000, 9_999_999_999_999, 7)], "c long, t long, v long")
     assert big.select(divergence._share("c", "t", "v", 2, 1_000_000_000).alias("p")).first().p == 1 + 10**9 * 9_000_000_000_002 // (9_999_999_999_999 + 14)
