@@ -3,8 +3,8 @@
 One pass over the texts counts, by white-space chunk and block of documents, which documents hold the chunk and how often: one row with a
 packed list. Every globally distinct chunk is taken apart into terms once; the documents of a term's chunks, added up, are the most that can
 hold it, so terms (and chunks) that cannot reach the least number leave here, most of a corpus' distinct chunks among them. The terms are
-joined back to the lists, so that a frequent chunk is a row a block and not a row a document; the lists of a term's chunks are merged by
-runs of blocks, where documents that hold it in several chunks count once. Chunks with more than one of HOT rows are few by counting; they
+joined back to the lists, so that a frequent chunk is a row a block and not a row a document; the lists of a term's chunks are merged
+block by block, where documents that hold it in several chunks count once. Chunks with more than one of HOT rows are few by counting; they
 meet their terms by broadcast, not by a shuffle. What is left is told by a bit table of fixed size, which lets some others pass; the joins
 are exact.
 """
@@ -26,9 +26,11 @@ from priceatlas.llm.common import BROADCAST_ROWS, buckets_for, give_back, materi
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task counts at once (one longer text: as many as it has).
-BLOCK_BYTES = 16 << 20
-#: Two to the power of so many blocks of a task are merged at once.
+BLOCK_BYTES = 32 << 20
+#: A term's lists from two to the power of so many tasks are merged by one task.
 BUCKET_BITS = 4
+#: Bytes of lists that are merged at once (those of one term and block: as many as they have).
+MERGE_BYTES = 4 << 20
 #: Words of 64 bits in a row of the bit table, and its rows: 8 MB in all.
 BIT_WORDS, BIT_ROWS = 64, 1 << 14
 #: Chunks with at least one of so many rows of the documents' side are hot: never more than so many chunks.
@@ -167,7 +169,9 @@ def _count_task(size: int):
 
 
 def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, g, n, d) from rows (term, bucket, times, block, held) sorted by term and bucket: a document counts once, whatever chunks of it hold the term."""
+    """(term, g, n, d) from rows (term, times, block, held) sorted by term and block: a document counts once, whatever chunks of it hold the term.
+
+    Sums of a term over several blocks may come in parts."""
     schema = pa.schema([("term", pa.string()), ("g", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
 
     def merged(t: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -190,18 +194,33 @@ def _merge_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(g[first]), pa.array(np.add.reduceat(n, first)), pa.array(np.add.reduceat(d, first))]
         yield from pa.Table.from_arrays([terms, *columns], schema=schema).to_batches(65536)
 
-    waits: list[pa.RecordBatch] = []
+    def whole(t: pa.Table) -> tuple[np.ndarray, int]:
+        """(first row of each term, first row of the last term's last block)."""
+        term, block = _one(t.column("term")), t.column("block").to_numpy()
+        other = np.asarray(pc.not_equal(term[1:], term[:-1]))
+        last = np.flatnonzero(np.append(True, other | (np.diff(block) != 0)))[-1]
+        return np.append(0, 1 + np.flatnonzero(other)), int(last)
+
+    waits, size = [], 0
     for b in batches:
+        if not b.num_rows:
+            continue
         waits.append(b)
+        size += b.nbytes
+        if size < MERGE_BYTES:
+            continue
         t = pa.Table.from_batches(waits)
-        term, bucket = _one(t.column("term")), t.column("bucket").to_numpy()
-        cut = np.append(0, 1 + np.flatnonzero(np.asarray(pc.not_equal(term[1:], term[:-1])) | (np.diff(bucket) != 0))) if len(t) else np.zeros(0, np.int64)
-        if len(cut) > 1:  # the last key may go on in the next batch
-            yield from merged(t.slice(0, cut[-1]), cut[:-1])
-            waits = t.slice(cut[-1]).combine_chunks().to_batches()
+        cut, last = whole(t)
+        if last:  # the last block's lists may go on in the next batch
+            yield from merged(t.slice(0, last).combine_chunks(), cut[cut < last])
+            waits = t.slice(last).combine_chunks().to_batches()
             give_back()
-    if waits and sum(b.num_rows for b in waits):
-        yield from merged(pa.Table.from_batches(waits), np.zeros(1, np.int64))
+        size = sum(w.nbytes for w in waits)
+        if not last:
+            size = 0  # one term and block: wait for as much again
+    if waits:
+        t = pa.Table.from_batches(waits).combine_chunks()
+        yield from merged(t, whole(t)[0])
     give_back()
 
 
@@ -231,7 +250,7 @@ def term_counts(texts: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]
     terms = materialize(each.join(able, "term").select("chunk", "term", "times", "blocks"), "chunk-terms")
 
     left = may_hold(rows, "chunk", bit_table(terms, "chunk")).select("chunk", "block", "held")
-    columns = ["term", F.shiftright("block", BUCKET_BITS).alias("bucket"), "times", "block", "held"]
+    columns = ["term", "times", "block", "held"]
     hot = materialize(terms.where(F.col("blocks") * HOT > rows.count()).drop("blocks"), "hot-terms")  # of fewer than HOT chunks
     if hot.count() <= BROADCAST_ROWS:
         met = left.join(F.broadcast(hot), "chunk", "left")
@@ -239,7 +258,7 @@ def term_counts(texts: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]
         met = met.where("term IS NOT NULL").select(*columns).unionByName(cold)
     else:
         met = left.join(terms, "chunk").select(*columns)
-    met = met.repartition("term", "bucket").sortWithinPartitions("term", "bucket")
+    met = met.repartition("term", F.shiftright("block", 32 + BUCKET_BITS)).sortWithinPartitions("term", "block")
     merged = met.mapInArrow(_merge_task, "term string, g long, n long, d long").groupBy("g", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     counts = materialize(merged.join(near, "g").select("lang", "source", "term", "n", "d"), "term-occurrences")
     documents = counts.groupBy("lang", "term").agg(F.sum("d").alias("documents"))

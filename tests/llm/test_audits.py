@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def test_divergence_of_hot_chunks_and_edges(spark):
 def test_divergence_over_many_blocks_and_small_batches(spark, prose, monkeypatch):
     docs = spark.createDataFrame([(i, *r, "t", 1, 2) for i, r in enumerate(prose)], DOCS).repartition(3)
     monkeypatch.setattr(divergence, "BLOCK_BYTES", 500)
-    monkeypatch.setattr(divergence, "BUCKET_BITS", 2)
+    monkeypatch.setattr(divergence, "BUCKET_BITS", 1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a term's lists go on over several batches
     try:
         assert sorted(map(tuple, divergence.divergence(docs).collect())) == audit(prose, 10, 10)
@@ -83,6 +84,23 @@ def test_divergence_over_many_blocks_and_small_batches(spark, prose, monkeypatch
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_lists_merge_alike_in_batches_of_any_size(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(t, b, c, sorted(rng.sample(range(40), rng.randint(1, 9)))) for t in "abc" for b in (1, 2, 7) for c in range(rng.randint(1, 4))]
+    want = {t: (sum(len(h) * (c + 1) for u, _, c, h in rows if u == t), sum(len({p for u, v, _, h in rows if (u, v) == (t, b) for p in h}) for b in (1, 2, 7))) for t in "abc"}
+    held = [divergence._varints(np.array([x for i, d in enumerate(np.diff(h, prepend=0)) for x in (d, 8 * 5 if i == 0 else 0)]))[0].tobytes() for *_, h in rows]
+    t = pa.table({"term": [r[0] for r in rows], "times": pa.array([r[2] + 1 for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.int64()), "held": pa.array(held, pa.binary())})
+    for size, most in ((1, 1), (3, 1), (1, 1 << 20), (100, 1)):
+        monkeypatch.setattr(divergence, "MERGE_BYTES", most)
+        got = defaultdict(lambda: [0, 0])
+        for b in divergence._merge_task(iter(t.to_batches(size))):
+            for r in b.to_pylist():
+                assert r["g"] == 5
+                got[r["term"]][0] += r["n"]
+                got[r["term"]][1] += r["d"]
+        assert {k: tuple(v) for k, v in got.items()} == want
+
+
 def test_packed_numbers_round_trip():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**31, 2**55 - 1, 0, 5])
     raw, width = divergence._varints(values)
