@@ -148,10 +148,6 @@ def round2_sql(e: str) -> str:
     return f"(floor(({e}) * 100 + 0.5) / 100)"
 
 
-def contains_all(text: Column, terms: list[Column]) -> Column:
-    return reduce(lambda a, t: a & text.contains(t), terms, F.lit(True))
-
-
 def slug(c: Column) -> Column:
     """Lower-case letters and digits joined by single hyphens, for file names."""
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
