@@ -257,11 +257,15 @@ def word_in(text: Column, word: Column) -> Column:
     return F.when(word == "", F.lit(False)).when(word.rlike("^[a-z]+$"), same).otherwise(text.contains(word))
 
 
-def _any(text: Column, words: list[str]) -> Column:
-    """Whether word_in holds for one of several fixed words, as one pattern."""
+def any_pattern(words: list[str]) -> str:
+    """A pattern that a normalized text holds where word_in holds for one of several fixed words."""
     single = [w for w in words if w.isalpha()]
     forms = {f for w in single for f in [w, w + "s", *([w[:-1]] if w.endswith("s") else []), *[b for a, b in ALIKE if a == w]]}
-    return text.rlike("|".join([f"(?:^| )(?:{'|'.join(sorted(forms))})(?: |$)", *[w for w in words if not w.isalpha()]]))
+    return "|".join([f"(?:^| )(?:{'|'.join(sorted(forms))})(?: |$)", *[w for w in words if not w.isalpha()]])
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return text.rlike(any_pattern(words))
 
 
 def _identity(text: Column) -> Column:
@@ -369,28 +373,9 @@ def score_candidates(pairs: DataFrame) -> DataFrame:
     return p.select(*kept, score.alias("score")).withColumn("label", label)
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parse of every distinct item name as a query."""
-    rows = parse_queries(items(spark, sf_dir).select(F.col("name").alias("query")).distinct())
-    hints = F.array_join(F.transform("hints", lambda h: F.concat_ws(":", h["name"], h["value"].cast("string"))), ",")
-    asked = F.array_join(F.transform("requested", lambda r: F.concat_ws(":", r["value"].cast("string"), r["unit"])), ",")
-    return rows.select("query", "normalized", "match", asked.alias("requested"), hints.alias("hints"), F.array_join("terms", ",").alias("terms"), "requested_unit", "intent")
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query, candidate, items, score, label: distinct names as queries against the distinct names of the same size (recall by attribute); equal names are scored once."""
-    rows = items(spark, sf_dir).groupBy("name", "unit").agg(F.count(F.lit(1)).alias("items"), F.min("price").alias("price"))
-    q = parse_queries(rows.select(F.col("name").alias("query")).distinct()).withColumn("size", F.try_element_at(F.filter("hints", lambda h: h["name"] == "size"), F.lit(1))["value"])
-    q = q.withColumn("vendor_terms", F.array().cast("array<string>")).withColumn("alias_confidence", F.lit(None).cast("double"))
-    own = parse_queries(rows.withColumnRenamed("name", "query")).select(F.col("query").alias("candidate"), "unit", "items", "price", F.col("hints").alias("attributes")).withColumn("size", F.try_element_at(F.filter("attributes", lambda h: h["name"] == "size"), F.lit(1))["value"])
-    none = F.lit(None).cast("string")
-    own = own.select("*", F.col("candidate").alias("searchable"), F.col("candidate").alias("product"), F.col("candidate").alias("description"), F.col("candidate").alias("rows"), *[none.alias(c) for c in ["sku", "columns", "parents", "title", "section", "vendor", "raw_cell"]], F.lit(1).alias("page"), F.lit(0.9).alias("confidence"), F.lit(0.82).alias("recall"), F.lit(0.0).alias("recency"), (F.col("items") > 1).alias("duplicate"))
-    return score_candidates(q.join(candidates(own), "size")).select("query", "candidate", "unit", "items", "score", "label")
-
-
 QUERIES = {
     "normalize_n2": second_dialect, "electrical_intent": electrical_intent, "price_basis": bases, "quotation_rate": rates, "electrical_match": matched_electrical,
-    "item_query_split": message_items, "query_parse": parsed, "candidate_score": scored,
+    "item_query_split": message_items,
 }
 SQL = {
     "normalize_n2": f"WITH i AS ({ITEMS}), n AS (SELECT id, {normalize_n2_sql('name')} AS normal FROM i) SELECT id, normal, replace(normal, ' ', '') AS compact FROM n",
