@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from priceatlas.functions.stored import stored
 from priceatlas.functions.text import compact, normalize_n1, normalize_n1_sql, normalize_unit, normalize_unit_sql, parse_price, parse_price_sql, quoted, tokens, tokens_sql, trigrams, trigrams_sql
 from priceatlas.plans.entities import PRICE_RECORDS_SQL, price_records
 
 #: Least trigram similarity of a candidate, weights of its score, labels' thresholds, and the cap of near ties.
 SIMILAR, W_SIMILAR, W_TOKENS, MATCHED, REVIEW, CAP, NEAR = 0.3, 0.6, 0.4, 0.85, 0.65, 0.84, 0.08
+#: Parts of a piece's records.
+PARTS = 16
 # Unit spellings that the unit query puts to sizes.
 SPELLINGS = ["mtrs", "pcs", "boxes", "kg", "coil", "sets", "roll", "nos.", "pair", "ltr"]
 
@@ -79,12 +82,31 @@ d AS (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY score DE
 SELECT *, CASE WHEN score >= {MATCHED} THEN 'Matched' WHEN score >= {REVIEW} THEN 'Needs review' ELSE 'Not reliable enough' END AS label, score < {MATCHED} AS needs_review FROM d"""
 
 
+def holding_all(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, id of records (id, text) that hold every term of a query (query, terms: lower-case), inside words too and whatever the case.
+
+    A query meets the records that hold the rarest piece of its terms (three letters, or a shorter term whole), records of a piece dealt to PARTS parts, and is
+    then checked whole. Null texts hold nothing; queries without terms, or with a null one, find nothing; empty terms are held by all texts and left out.
+    """
+    def pieces(c: Column, n: int) -> Column:
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    held = stored(records.select("id", F.lower("text").alias("text")).where("text IS NOT NULL"), "lower-texts")
+    asked = queries.select("query", F.filter("terms", lambda t: t.isNull() | (t != "")).alias("terms")).where("size(terms) > 0 AND NOT exists(terms, t -> t IS NULL)").distinct()
+    asked = stored(asked, "all-terms")
+    wanted = asked.select("query", F.explode("terms").alias("t")).select("query", F.explode(F.when(F.length("t") < 3, F.array("t")).otherwise(pieces(F.col("t"), 3))).alias("piece")).distinct()
+    postings = held.select("id", "text", F.explode(F.array_distinct(F.concat(*[pieces(F.col("text"), n) for n in (1, 2, 3)]))).alias("piece"))
+    often = postings.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
+    rarest = wanted.join(often, "piece", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece"))["piece"].alias("piece"))
+    met = rarest.join(asked, "query").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = met.join(postings.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")), ["piece", "part"])
+    return met.where(F.forall("terms", lambda t: F.contains("text", t))).select("query", "id")
+
+
 def all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query, id: records whose text holds all tokens of a query; queries are the distinct names, found by a join on their tokens."""
-    records = price_records(spark, sf_dir).select("id", F.explode(tokens(normalize_n1(F.col("text")))).alias("token"))
-    names = price_records(spark, sf_dir).where("product is not null").select(F.col("product").alias("query")).distinct().withColumn("w", tokens(normalize_n1(F.col("query"))))
-    wanted = names.select("query", F.size("w").alias("n"), F.explode("w").alias("token"))
-    return records.join(wanted, "token").groupBy("query", "id", "n").agg(F.count(F.lit(1)).alias("hits")).where("hits = n").select("query", "id")
+    """query, id: records whose text holds all tokens of a query, inside words too; queries are the distinct names."""
+    names = price_records(spark, sf_dir).where("product is not null").select(F.col("product").alias("query")).distinct()
+    return holding_all(price_records(spark, sf_dir).select("id", "text"), names.select("query", tokens(normalize_n1(F.col("query"))).alias("terms")))
 
 
 def attribute_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +134,7 @@ SQL = {
     "normalize_unit_and_price": f"WITH r AS ({PRICE_RECORDS_SQL}), u AS (SELECT id, price AS p, {_UNIT} AS s, size FROM r), n AS (SELECT id, {normalize_n1_sql('CAST(size AS VARCHAR) || chr(32) || s')} AS n, '₹ ' || format('{{:,.2f}}', p) || ' per ' || s AS t FROM u) SELECT id, {normalize_unit_sql('n')} AS unit, {parse_price_sql('t')} AS price FROM n",
     "trigram_recall": f"{_N} SELECT * FROM c",
     "rank_topk": RANKED_SQL,
-    "ilike_all_terms": f"WITH r AS ({PRICE_RECORDS_SQL}), x AS (SELECT id, {tokens_sql(normalize_n1_sql('text'))} AS w FROM r), q AS (SELECT t AS query, {tokens_sql(normalize_n1_sql('t'))} AS w FROM (SELECT DISTINCT product AS t FROM r WHERE product IS NOT NULL)) SELECT query, id FROM q JOIN x ON len(q.w) > 0 AND list_has_all(x.w, q.w)",
+    "ilike_all_terms": f"WITH r AS ({PRICE_RECORDS_SQL}), q AS (SELECT t AS query, {tokens_sql(normalize_n1_sql('t'))} AS w FROM (SELECT DISTINCT product AS t FROM r WHERE product IS NOT NULL)) SELECT query, id FROM q JOIN r ON len(q.w) > 0 AND len(list_filter(q.w, lambda t: NOT contains(lower(r.text), t))) = 0",
     "attr_containment": f"WITH r AS ({PRICE_RECORDS_SQL}) SELECT id, count(*) OVER (PARTITION BY section, size) - 1 AS matches, min(price) OVER (PARTITION BY section, size) AS lowest FROM r",
     "row_dedupe_first_wins": f"WITH r AS ({PRICE_RECORDS_SQL}) SELECT id, product, sku, section, {_UNIT} AS unit, price FROM r QUALIFY row_number() OVER (PARTITION BY lower(product), coalesce(lower(sku), ''), lower({_UNIT}), price ORDER BY id) = 1",
 }
