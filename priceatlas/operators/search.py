@@ -95,8 +95,11 @@ def holding_all(records: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query", F.filter("terms", lambda t: t.isNull() | (t != "")).alias("terms")).where("size(terms) > 0 AND NOT exists(terms, t -> t IS NULL)").distinct()
     asked = stored(asked, "all-terms")
     wanted = asked.select("query", F.explode("terms").alias("t")).select("query", F.explode(F.when(F.length("t") < 3, F.array("t")).otherwise(pieces(F.col("t"), 3))).alias("piece")).distinct()
-    postings = held.select("id", "text", F.explode(F.array_distinct(F.concat(*[pieces(F.col("text"), n) for n in (1, 2, 3)]))).alias("piece"))
-    often = postings.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
+    wanted = stored(wanted.withColumn("n", F.length("piece")), "wanted-pieces")
+    lengths = [r.n for r in wanted.select("n").distinct().collect()]  # three at most
+    postings = held.select("id", "text", F.explode(F.array_distinct(F.concat(*[pieces(F.col("text"), n) for n in lengths or [3]]))).alias("piece"))
+    postings = stored(postings.join(wanted.select("piece").distinct(), "piece", "left_semi"), "piece-postings")
+    often = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
     rarest = wanted.join(often, "piece", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "piece"))["piece"].alias("piece"))
     met = rarest.join(asked, "query").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     met = met.join(postings.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")), ["piece", "part"])
