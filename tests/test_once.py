@@ -3,7 +3,7 @@
 import random
 
 from priceatlas.functions.text import N1_REWRITES, normalize_n1
-from priceatlas.operators import canonical, ingest
+from priceatlas.operators import canonical, ingest, matrices
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +22,7 @@ def test_documents_are_parsed_once(spark):
 def test_filters_do_not_work_cells_out_anew(spark):
     assert _plan(ingest.from_text_lines(spark, SF)).count("per\\s+.+") <= 4
     assert _plan(canonical.links(spark, SF)).count("beam\\s*angle") == 1
+    assert _plan(matrices.matrix_prices(spark, SF)).count("lsoh") == 1
 
 
 def test_rows_take_the_first_header_above_them(spark):
