@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from priceatlas.functions.once import bound, with_once
 from priceatlas.operators.ingest import _L, lists
 
-# A table, a page number and a page's body in the text, and how far back, in characters, a page number may begin.
-TABLE = r"(?is)<table.*?</table>"
+# A table with what stands before it (\G: right after the last one, so that a text without further tables is looked through once), a page number and a page's body in the text, and how far back, in characters, a page number may begin.
+UP_TO_TABLE = r"(?is)\G.*?<table.*?</table>"
 NUMBER = r'(?is)^(.*)class="page-number"[^>]*>\s*(\d+)\s*<'
 BODY = r"""(?i)class=["'][^"']*(?<![A-Za-z0-9_])page-body-container(?![A-Za-z0-9_])[^"']*["']"""
 NEAR = 5000
@@ -21,20 +22,37 @@ def table_pages(docs: DataFrame) -> DataFrame:
     into tables and what stands between them; offsets and markers run on over these pieces, so no table looks through the text before it again.
     Texts without tables, null ones among them, give nothing. Texts of one id are documents of their own if they differ; repeated rows count once.
     """
-    texts = docs.where("text is not null").select("id", "text").distinct().withColumn("doc", F.xxhash64("text"))
-    between, tables = F.split("text", TABLE), F.regexp_extract_all("text", F.lit(TABLE), F.lit(0))
-    # Spark's split keeps a last empty piece, so there is one more piece than tables
-    piece = F.transform(F.sequence(F.lit(0), 2 * F.size(tables)), lambda i: F.when(i % 2 == 0, F.get(between, F.floor(i / 2).cast("int"))).otherwise(F.get(tables, F.floor(i / 2).cast("int"))))
-    pieces = texts.select("id", "doc", F.posexplode(piece).alias("n", "piece"))
-    w = Window.partitionBy("id", "doc").orderBy("n")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
-    found = F.col("piece").rlike(NUMBER)
-    marker = F.when(found, F.struct((F.col("start") + F.length(F.regexp_extract("piece", NUMBER, 1))).alias("at"), F.regexp_extract("piece", NUMBER, 2).try_cast("long").alias("page")))
-    pieces = pieces.withColumns({"marker": F.last(marker, ignorenulls=True).over(before), "bodies": F.coalesce(F.sum(F.regexp_count("piece", F.lit(BODY))).over(before), F.lit(0))})
+    # a row holds a table and what stands before it; the text is cut in one pass, and texts themselves go neither through a hash table nor through a sort
+    cut = docs.where("text is not null").select("id", F.xxhash64("text").alias("doc"), F.posexplode_outer(F.regexp_extract_all("text", F.lit(UP_TO_TABLE), F.lit(0))).alias("n", "piece"))
+    pieces = with_once(cut.where("piece is not null"), {"b_size": F.regexp_instr("piece", F.lit("(?i)<table")) - 1})
+    pieces = with_once(pieces, {"p": F.struct(F.substring("piece", F.lit(1), F.col("b_size")).alias("b"), F.substring("piece", F.col("b_size") + 1, F.length("piece")).alias("t"))})
+    pieces = with_once(pieces, {"t_size": F.length("p.t"), "told": F.struct(_signs(F.col("p.b")).alias("b"), _signs(F.col("p.t")).alias("t"))})
+    pieces = pieces.select("id", "doc", "n", "b_size", "t_size", "told", F.col("p.t").alias("html")).dropDuplicates(["id", "doc", "n"])
+    before = Window.partitionBy("id", "doc").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("row_start", F.coalesce(F.sum(F.col("b_size") + F.col("t_size")).over(before), F.lit(0).cast("long"))).withColumn("start", F.col("row_start") + F.col("b_size"))
+
+    def marker(side: str, start: str) -> Column:
+        return F.when(F.col(f"told.{side}.at").isNotNull(), F.struct((F.col(start) + F.col(f"told.{side}.at")).alias("at"), F.col(f"told.{side}.page").alias("page")))
+
+    pieces = pieces.withColumns({"own": marker("b", "row_start"), "inside": marker("t", "start")})
+    pieces = pieces.withColumn("marker", F.coalesce("own", F.last(F.coalesce("inside", "own"), ignorenulls=True).over(before)))
+    pieces = pieces.withColumn("bodies", F.coalesce(F.sum(F.col("told.b.bodies") + F.col("told.t.bodies")).over(before), F.lit(0).cast("long")) + F.col("told.b.bodies"))
     near = F.when(F.col("marker.at") >= F.col("start") - NEAR, F.col("marker.page"))
     page = F.coalesce(near, F.nullif(F.col("bodies").cast("long"), F.lit(0).cast("long")))
-    return pieces.where("n % 2 = 1").select("id", F.floor(F.col("n") / 2).cast("int").alias("table_no"), page.alias("page"), F.col("piece").alias("html"))
+    return pieces.select("id", F.col("n").alias("table_no"), page.alias("page"), "html")
+
+
+def _signs(piece: Column) -> Column:
+    """struct(at, page, bodies): offset and number of a piece's last page number (null without one), and how many page bodies begin in it. Both are looked for only where their words stand."""
+    def told(low: Column) -> Column:
+        found = low.contains('class="page-number"') & piece.rlike(NUMBER)
+        at = F.when(found, F.length(F.regexp_extract(piece, NUMBER, 1)))
+        bodies = F.when(low.contains("page-body-container"), F.regexp_count(piece, F.lit(BODY))).otherwise(0)
+        return F.struct(at.alias("at"), F.when(found, F.regexp_extract(piece, NUMBER, 2).try_cast("long")).alias("page"), bodies.alias("bodies"))
+
+    # both words hold a hyphen, which is the fastest to look for
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("page"), F.lit(0).alias("bodies"))
+    return F.when(piece.contains("-"), bound(F.lower(piece), told)).otherwise(none)
 
 
 def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:

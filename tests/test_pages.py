@@ -15,3 +15,12 @@ def test_pages_by_numbers_bodies_and_distance(spark):
     got = sorted((r.id, r.table_no, r.page or 0, r.html[-9:]) for r in pages.table_pages(spark.createDataFrame(texts, "id long, text string")).collect())
     assert [g[:3] for g in got] == [(1, 0, 0), (1, 1, 3), (1, 2, 5), (1, 3, 0), (2, 0, 1), (2, 1, 2), (3, 0, 0), (3, 0, 0), (3, 1, 7), (7, 0, 0)]
     assert pages.table_pages(spark.createDataFrame([], "id long, text string")).count() == 0
+
+
+def test_a_text_is_cut_once_and_not_hashed(spark):
+    docs = spark.createDataFrame([(1, "</table>İ-<p CLASS=\"page-number\">4<b><TABLE>a</Table></table>-page-body-container<table><table>b</table>c</table>" + "<table" * 20), (1, "<table>a</table>"), (1, "<table>a</table>")], "id long, text string")
+    found = pages.table_pages(docs)
+    got = sorted((r.page or 0, r.table_no, r.html) for r in found.collect())
+    assert got == [(0, 0, "<table>a</table>"), (4, 0, "<TABLE>a</Table>"), (4, 1, "<table><table>b</table>")]
+    plan = pages.table_pages(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("</table>") == 1 and "HashAggregate" not in plan
