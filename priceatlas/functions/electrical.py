@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from priceatlas.functions.text import ascii_words, normalize_n1, normalize_n1_sql, normalize_unit, normalize_unit_sql, quoted, round2, round2_sql
+from priceatlas.functions.once import bound
+from priceatlas.functions.text import ascii_words, normalize_n1, normalize_n1_sql, normalize_unit, normalize_unit_sql, quoted, rewritten, rewritten_by_signs, round2, round2_sql
 
 # The rewrites of the N2 text dialect, in the order that results depend on; a dot between digits is kept as p meanwhile.
 N2_REWRITES = [
@@ -27,15 +28,25 @@ N2_REWRITES = [
     (r"[^a-z0-9]+", " "),
     (r"(\d)p(\d)", "$1.$2"),
 ]
+#: Consecutive rewrites by number (from, to) and what a text must hold for any of them to change it. The last three are asked for by a dot between digits.
+N2_SIGNS = [(0, 1, r"[×*]"), (1, 3, r"\bfr"), (3, 5, r"\b(?:cu|al)\b"), (5, 7, r"\b(?:un\s*[-_/]?\s*)?arm"), (7, 11, r"\d\s*(?:sq|c|m)"), (11, 13, r"[a-z]\d|\d[a-z]"), (13, 14, r"x\s*[0-9]")]
 # Units that a price may be per, packs, and the kinds of a pack's length.
 PER_UNITS, PACKS, PACK_UNITS = "meter|kg|piece|pair|box|set", "coil|roll|bundle", "coil|roll|bundle|box|piece|pair|set"
 
 
 def normalize_n2(c: Column) -> Column:
-    c = F.lower(F.coalesce(c, F.lit("")))
-    for pattern, to in N2_REWRITES:
-        c = F.regexp_replace(c, ascii_words(pattern), to)
-    return F.trim(c)
+    """As normalize_n1: characters beyond ASCII but × become ~, so that Java's plain word boundary serves, and rewrites are asked for by signs."""
+    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\x00-\x7F×]", "~")
+    words, forms = N2_SIGNS[:-2], N2_SIGNS[-2:]
+    some = "|".join(sign for _, _, sign in words)
+    c = bound(c, lambda text: F.when(text.rlike(some), rewritten_by_signs(text, N2_REWRITES, words)).otherwise(text))
+    kept, plain, back = (N2_REWRITES[-3:-2], N2_REWRITES[-2:-1], N2_REWRITES[-1:])
+
+    def parted(text: Column) -> Column:
+        # no digit, p and digit stand side by side by now but by a dot between digits
+        return F.when(text.rlike(r"\d\.\d"), rewritten(text, [*kept, *plain, *back])).otherwise(rewritten(text, plain))
+
+    return F.trim(bound(bound(c, lambda text: rewritten_by_signs(text, N2_REWRITES, forms)), parted))
 
 
 def normalize_n2_sql(e: str) -> str:

@@ -65,26 +65,29 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def normalize_n1(c: Column) -> Column:
-    """No rewrite keeps or asks for a character beyond ASCII but ×. The others become ~ first, so that Java's plain word boundary, much faster than looking around, knows ASCII words alone."""
-    def rewritten(text: Column, first: int, end: int | None) -> Column:
-        for pattern, to in N1_REWRITES[first:end]:
-            text = F.regexp_replace(text, pattern, to)
+def rewritten(text: Column, rewrites: list[tuple[str, str]]) -> Column:
+    for pattern, to in rewrites:
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+def rewritten_by_signs(text: Column, rewrites: list[tuple[str, str]], signs: list[tuple[int, int, str]]) -> Column:
+    """The rewrites in their order, those of a sign (from, to, what a text must hold for any of them to change it) only where the text then holds it."""
+    if not signs:
         return text
+    first, last, sign = signs[0]
+    return bound(F.when(text.rlike(sign), rewritten(text, rewrites[first:last])).otherwise(text), lambda done: rewritten_by_signs(done, rewrites, signs[1:]))
 
-    def steps(text: Column, n: int, end: int) -> Column:
-        if n == end:
-            return text
-        first, last, sign = N1_SIGNS[n]
-        return bound(F.when(text.rlike(sign), rewritten(text, first, last)).otherwise(text), lambda done: steps(done, n + 1, end))
 
+def normalize_n1(c: Column) -> Column:
+    """No rewrite keeps or asks for a character beyond ASCII but ×. The others become ~ first, so that Java's plain word boundary, much faster than looking around, knows ASCII words alone."""
     c = F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("\u00a0"), F.lit(" "))
     c = F.regexp_replace(c, r"[^\x00-\x7F×]", "~")
-    words, forms = len(N1_SIGNS) - 2, len(N1_SIGNS)
+    words, forms = N1_SIGNS[:-2], N1_SIGNS[-2:]
     # most texts hold no sign of any word, which one look tells
-    some = "|".join(sign for _, _, sign in N1_SIGNS[:words])
-    c = bound(c, lambda text: F.when(text.rlike(some), steps(text, 0, words)).otherwise(text))
-    return F.trim(rewritten(bound(c, lambda text: steps(text, words, forms)), N1_SIGNS[-1][1], None))
+    some = "|".join(sign for _, _, sign in words)
+    c = bound(c, lambda text: F.when(text.rlike(some), rewritten_by_signs(text, N1_REWRITES, words)).otherwise(text))
+    return F.trim(rewritten(bound(c, lambda text: rewritten_by_signs(text, N1_REWRITES, forms)), N1_REWRITES[forms[-1][1]:]))
 
 
 def normalize_n1_sql(e: str) -> str:

@@ -2,7 +2,8 @@
 
 import random
 
-from priceatlas.functions.text import N1_REWRITES, normalize_n1
+from priceatlas.functions.electrical import N2_REWRITES, normalize_n2
+from priceatlas.functions.text import N1_REWRITES, ascii_words, normalize_n1
 from priceatlas.operators import canonical, ingest, matrices
 from pyspark.sql import functions as F
 
@@ -43,3 +44,15 @@ def test_signs_of_n1_leave_no_rewrite_out(spark):
         plain = F.regexp_replace(plain, pattern, to)
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert rows.where(F.trim(plain) != normalize_n1(F.col("t"))).count() == 0
+
+
+def test_signs_of_n2_leave_no_rewrite_out(spark):
+    parts = ["fr", "ls", "h", " ", "-", "/", "sq", ".", "mm", "mtrs", "metre", "m", "5", "2.5", "1p2", "1.2.3", "Cu", "al", "un", "armd", "armoured.", "x", "×", "*", "cores", "c", "é", "ß", "~", "\t", "\n", "A", "p"]
+    dice = random.Random(4)
+    plain = F.lower(F.coalesce("t", F.lit("")))
+    for pattern, to in N2_REWRITES:
+        plain = F.regexp_replace(plain, ascii_words(pattern), to)
+    rows = spark.createDataFrame([("".join(dice.choices(parts, k=dice.randint(0, 10))),) for _ in range(20_000)] + [(None,)], "t string")
+    assert rows.where(F.trim(plain) != normalize_n2(F.col("t"))).count() == 0
+    # every look around at each letter is gone
+    assert "(?<=[A-Za-z0-9_])" not in _plan(rows.select(normalize_n2(F.col("t"))))
