@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from priceatlas.functions.once import bound
-from priceatlas.functions.text import ascii_words, normalize_n1, normalize_n1_sql, normalize_unit, normalize_unit_sql, quoted, rewritten, rewritten_by_signs, round2, round2_sql
+from priceatlas.functions.text import normalize_n1, normalize_n1_sql, normalize_unit, normalize_unit_sql, quoted, rewritten, rewritten_by_signs, round2, round2_sql
 
 # The rewrites of the N2 text dialect, in the order that results depend on; a dot between digits is kept as p meanwhile.
 N2_REWRITES = [
@@ -61,11 +61,11 @@ class _Spark:
 
     @staticmethod
     def has(c, pattern):
-        return c.rlike(ascii_words(pattern))
+        return c.rlike(pattern)  # normalized texts are ASCII
 
     @staticmethod
     def find(c, pattern, group=1):
-        return F.nullif(F.regexp_extract(c, ascii_words(pattern), group), F.lit(""))
+        return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
     @staticmethod
     def case(*branches, other=None):
@@ -184,7 +184,12 @@ def price_basis(price: Column, unit: Column, context: Column) -> Column:
     A known roll is named coil, as units are normalized.
     """
     given = normalize_unit(normalize_n1(unit))
-    b = _basis(_Spark, normalize_n1(F.concat_ws(" ", unit, context)), given)
+    told = lambda n, g: F.struct(*[c.alias(k) for k, c in _basis(_Spark, n, g).items()])
+    found = bound(normalize_n1(F.concat_ws(" ", unit, context)), lambda n: bound(given, lambda g: told(n, g)))
+    return bound(found, lambda b: _priced(price, b))
+
+
+def _priced(price: Column, b: Column) -> Column:
     q = F.when(b["quantity"] > 0, b["quantity"]).otherwise(F.lit(1.0))
     basis, pack = F.replace(b["basis"], F.lit("roll"), F.lit("coil")), F.replace(b["pack"], F.lit("roll"), F.lit("coil"))
     label = F.concat(F.when(q == 1, "").otherwise(F.concat(F.regexp_replace(q.cast("string"), r"\.0$", ""), F.lit(" "))), basis, F.coalesce(F.concat(F.lit(" "), pack), F.lit("")))
@@ -206,7 +211,10 @@ SELECT *, {', '.join(f'{v} AS {k}' for k, v in b.items())} FROM (SELECT *, {pric
 def quotation_rate(price: Column, basis: Column, quantity: Column, unit: Column) -> Column:
     """struct(qty, unit, unit_price): the line for a requested quantity; packs at the pack's price, the basis unit at its unit price, all else as listed."""
     qty = F.when(quantity > 0, quantity.cast("double")).otherwise(F.lit(1.0))
-    asked = normalize_unit(normalize_n1(unit))
+    return bound(normalize_unit(normalize_n1(unit)), lambda asked: _rate(price, basis, qty, asked))
+
+
+def _rate(price: Column, basis: Column, qty: Column, asked: Column) -> Column:
     packs = asked.isin(*PACKS.split("|")) & basis["pack_unit"].isNotNull()
     same = asked == basis["unit"]
     name = F.when(packs, F.when(asked == "bundle", asked).otherwise(basis["pack_unit"])).when(same, asked).otherwise(F.coalesce(basis["label"], basis["unit"], asked))

@@ -28,7 +28,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.element_at(F.array(*map(F.lit, words)), (F.expr(at) + 1).cast("int"))
 
     parts = [c for (words, at), gap in zip(_PICKS, _GAPS, strict=True) for c in (pick(words, at), F.lit(gap))]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(*parts).alias("name"), pick(_PRICED, "p_partkey % 5").alias("unit"), F.col("p_retailprice").alias("price"))
+    # reading a name costs far more than its bytes tell, so a small file is dealt out by number
+    rows = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return rows.select(F.col("p_partkey").alias("id"), F.concat(*parts).alias("name"), pick(_PRICED, "p_partkey % 5").alias("unit"), F.col("p_retailprice").alias("price"))
 
 
 def _pick_sql(words: list[str], at: str) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from priceatlas.functions.text import ascii_words, normalize_n1, normalize_n1_sql, quoted, round2, round2_sql, unique_text, unique_text_sql
+from priceatlas.functions.once import bound
+from priceatlas.functions.text import ascii_only, ascii_words, normalize_n1, normalize_n1_sql, quoted, round2, round2_sql, unique_text, unique_text_sql
 from priceatlas.operators import engine, quotes, search
 from priceatlas.operators.canonical import number_text, number_text_sql
 from priceatlas.plans.entities import ITEMS_SQL, PRICE_RECORDS_SQL, price_records, quotation_items, table
@@ -171,15 +174,25 @@ KINDS = [("FRLSH", r"\bfr\s*ls\s*h\b|frlsh"), ("FRLS", r"\bfr\s*ls\b|frls"), ("H
 
 def spellings(text: Column) -> Column:
     """Other spellings of a text, each once, white space squeezed; the text itself is none."""
-    flat = [F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)" + ascii_words(p), to), r"\s+", " ")) for p, to in SPELLINGS]
-    return F.array_distinct(F.filter(F.array(*flat), lambda v: (v != "") & (v != F.trim(text))))
+    squeezed = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+
+    def others(text: Column, form: Callable[[str], str]) -> Column:
+        flat = lambda plain: [F.when(text.rlike("(?i)" + form(p)), squeezed(F.regexp_replace(text, "(?i)" + form(p), to))).otherwise(plain) for p, to in SPELLINGS]
+        return bound(squeezed(text), lambda plain: F.array(*flat(plain)))
+
+    # on ASCII texts Java's plain word boundary serves
+    found = lambda t: F.when(F.octet_length(t) == F.length(t), others(t, str)).otherwise(others(t, ascii_words))
+    return bound(text, lambda t: F.array_distinct(F.filter(found(t), lambda v: (v != "") & (v != F.trim(t)))))
 
 
 def wire_kind(text: Column) -> Column:
-    low, out = F.lower(text), F.when(F.lit(False), F.lit(None).cast("string"))
-    for kind, signs in KINDS:
-        out = out.when(low.rlike(ascii_words(signs)), kind)
-    return out
+    def kind_of(low: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for kind, signs in KINDS:
+            out = out.when(low.rlike(signs), kind)
+        return out
+
+    return bound(ascii_only(F.lower(text)), kind_of)
 
 
 def item_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:

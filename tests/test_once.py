@@ -4,7 +4,7 @@ import random
 
 from priceatlas.functions.electrical import N2_REWRITES, normalize_n2
 from priceatlas.functions.text import N1_REWRITES, ascii_words, normalize_n1
-from priceatlas.operators import canonical, ingest, matrices
+from priceatlas.operators import canonical, engine, fulltext, ingest, matrices, recall
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,23 @@ def test_signs_of_n2_leave_no_rewrite_out(spark):
     assert rows.where(F.trim(plain) != normalize_n2(F.col("t"))).count() == 0
     # every look around at each letter is gone
     assert "(?<=[A-Za-z0-9_])" not in _plan(rows.select(normalize_n2(F.col("t"))))
+
+
+def test_items_are_dealt_out_and_read_once(spark):
+    assert engine.items(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = _plan(spark.range(1).select(normalize_n1(F.col("id").cast("string")))).count("scensior")
+    assert _plan(engine.bases(spark, SF)).count("scensior") <= 2 * once
+    assert _plan(engine.rates(spark, SF)).count("scensior") <= 3 * once
+    assert _plan(canonical.vendors(spark, SF)).count("[^a-z0-9]+") == 1
+    assert _plan(ingest.mined_aliases(spark, SF)).count("sq\\.?\\s*mm\\b|") <= 2  # one pass for all abbreviations
+
+
+def test_records_that_say_the_same_are_scored_once_and_all_listed(spark):
+    rows = spark.createDataFrame([(i, "copper wire", "s", i % 3) for i in range(60)] + [(99, "copper wire red", "s", 1)], "id long, text string, sku string, day int")
+    kept = recall.first_members(rows, ["text"], [F.desc("day"), F.col("id")], 5).collect()
+    assert sorted((r.text, r.place, r.id, r.first) for r in kept) == [("copper wire", n + 1, 2 + 3 * n, 2) for n in range(5)] + [("copper wire red", 1, 99, 99)]
+    found = recall.recall(spark.createDataFrame([("copper wire",)], "query string"), rows.select("id", "text", "sku")).collect()
+    assert sorted((r.rank, r.id) for r in found) == [(n + 1, n) for n in range(recall.TOP)]
+    dated = rows.select("id", "text", F.col("text").alias("product"), "sku", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("uploaded"))
+    got = fulltext.record_recall(spark.createDataFrame([("copper wire",)], "query string"), dated, 45).orderBy("rank").collect()
+    assert [r.id for r in got] == [*range(2, 60, 3), *range(1, 60, 3), *range(0, 15, 3)]
