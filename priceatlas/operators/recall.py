@@ -90,6 +90,13 @@ def _holding(needles: DataFrame, needle: str, stacks: DataFrame, stack: str) ->
     return keys.join(posts, "x").where(F.contains(stack, needle)).select(needle, stack)
 
 
+def first_members(rows: DataFrame, same: list[str], order: list[Column], most: int) -> DataFrame:
+    """rows with place and first: classes of rows equal in `same`, the `most` first of each by order, with their place (from 1) and the id of the first."""
+    w = Window.partitionBy(*same).orderBy(*order)
+    placed = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return placed.withColumn("first", F.first("id").over(w))
+
+
 def recall(queries: DataFrame, items: DataFrame) -> DataFrame:
     """query, rank, id, score: the TOP records of every query.
 
@@ -101,7 +108,9 @@ def recall(queries: DataFrame, items: DataFrame) -> DataFrame:
     queries = queries.select("query", words_of(F.col("normal")).alias("qw"), F.replace("normal", F.lit(" "), F.lit("")).alias("qc"), trigrams(F.col("normal")).alias("qg"), trigrams(F.col("query")).alias("qs"))
     queries = stored(queries, "recall-queries")
     rows = items.groupBy("id", "text", "sku").agg(F.max(normalize_n2(F.col("text"))).alias("item")).select("id", "item", F.coalesce("sku", F.lit("")).alias("sku"))
-    rows = stored(rows, "recall-rows")
+    # rows that say the same are scored once, as the first of them; of each such class no more than TOP can be asked for
+    members = stored(first_members(rows.distinct(), ["item", "sku"], [F.col("id")], TOP), "recall-members")
+    rows = members.where("place = 1").select("id", "item", "sku")
     texts = rows.select("item").distinct().select("item", words_of(F.col("item")).alias("iw"), F.replace("item", F.lit(" "), F.lit("")).alias("ic"), trigrams(F.col("item")).alias("ig"))
     texts = stored(texts, "recall-texts")
     skus = rows.select("sku").distinct().select("sku", trigrams(F.col("sku")).alias("sg"))
@@ -130,9 +139,11 @@ def recall(queries: DataFrame, items: DataFrame) -> DataFrame:
     words = F.when(F.col("all_words"), cover_density(F.array_distinct("qw"), F.col("iw"))).otherwise(0.0)
     best = F.greatest("similar", similarity(F.col("qs"), F.col("sg")))
     score = W_WORDS * words + W_SIMILAR * best + W_COMPACT * F.col("compact").cast("int") + W_COVERED * F.col("covered")
-    told = told.select("query", "id", F.round(score, 6).alias("score"), (F.lower("sku") == F.lower("query")).alias("exact"))
+    told = told.select("query", "id", "item", "sku", F.round(score, 6).alias("score"), (F.lower("sku") == F.lower("query")).alias("exact"))
     w = Window.partitionBy("query").orderBy(F.desc("exact"), F.desc("score"), "id")
-    return told.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).select("query", "rank", "id", "score")
+    # a class's first row comes before its others, so no later class than the TOP first ones holds a row of the answer
+    best = told.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).drop("id", "rank").join(members.select("item", "sku", "id"), ["item", "sku"])
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).select("query", "rank", "id", "score")
 
 
 def hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
