@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceatlas.functions.electrical import normalize_n2, normalize_n2_sql
+from priceatlas.functions.once import bound
 from priceatlas.functions.stored import stored
 from priceatlas.functions.text import normalize_n1, normalize_n1_sql, tokens, tokens_sql
-from priceatlas.operators.recall import _rarest
+from priceatlas.operators.recall import _rarest, first_members
 from priceatlas.plans.entities import PRICE_RECORDS_SQL, price_records, table
 
 # What parts clauses, most texts a question, rows of an answer, least rows of a later text and of a clause, steps of ranks, and words that are read as codes.
@@ -29,14 +30,18 @@ def shards_of(question: Column) -> Column:
     """The texts that a question is searched by, best first, MOST_SHARDS at most: its clauses, these in the second dialect, the whole of a question
     of one clause, all without hyphens and slashes and without blanks, and its codes."""
     whole, clauses = F.coalesce(question, F.lit("")), clauses_of(question)
+    return bound(clauses, lambda clauses: bound(F.filter(F.transform(clauses, normalize_n2), lambda t: t != ""), lambda said: _shards(whole, clauses, said)))
+
+
+def _shards(whole: Column, clauses: Column, said: Column) -> Column:
     normal = lambda texts: F.filter(F.transform(texts, normalize_n2), lambda t: t != "")
     alone = lambda *texts: F.when(F.size(clauses) <= 1, F.array(*texts)).otherwise(F.array().cast("array<string>"))
-    bases = F.array_distinct(F.concat(clauses, normal(clauses), alone(normalize_n2(whole), whole)))
-    loose = F.transform(bases, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[-_/]+", " "), r"\s+", " ")))
-    tight = F.transform(bases, lambda t: F.regexp_replace(t, r"[-_/\s]+", ""))
-    variants = F.filter(F.flatten(F.transform(F.arrays_zip(loose.alias("a"), tight.alias("b")), lambda z: F.array(z["a"], z["b"]))), lambda t: F.length(t) >= 2)
-    codes = F.filter(F.regexp_extract_all(whole, F.lit(CODE), F.lit(0)), lambda c: (normalize_n2(c) != "") & (c.rlike(r"[\d./_-]") | (F.length(normalize_n2(c)) <= 3) | normalize_n2(c).isin(CODE_WORDS)))
-    found = F.concat(clauses, normal(clauses), alone(F.trim(whole)), variants, codes, normal(codes))
+    bases = F.array_distinct(F.concat(clauses, said, alone(normalize_n2(whole), whole)))
+    loose = lambda bases: F.transform(bases, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[-_/]+", " "), r"\s+", " ")))
+    tight = lambda bases: F.transform(bases, lambda t: F.regexp_replace(t, r"[-_/\s]+", ""))
+    variants = lambda bases: F.filter(F.flatten(F.transform(F.arrays_zip(loose(bases).alias("a"), tight(bases).alias("b")), lambda z: F.array(z["a"], z["b"]))), lambda t: F.length(t) >= 2)
+    codes = F.filter(F.regexp_extract_all(whole, F.lit(CODE), F.lit(0)), lambda c: bound(normalize_n2(c), lambda n: (n != "") & (c.rlike(r"[\d./_-]") | (F.length(n) <= 3) | n.isin(CODE_WORDS))))
+    found = F.concat(clauses, said, alone(F.trim(whole)), bound(bases, variants), bound(codes, lambda c: F.concat(c, normal(c))))
     return F.slice(F.array_distinct(F.filter(found, lambda t: t != "")), 1, MOST_SHARDS)
 
 
@@ -48,14 +53,17 @@ def hits_of(texts: DataFrame, items: DataFrame, most: int = LIMIT) -> DataFrame:
     """
     words = lambda c: F.array_distinct(tokens(normalize_n1(c)))
     asked = stored(texts.select("text").where("text IS NOT NULL").distinct().withColumn("asked", words(F.col("text"))), "shard-texts")
-    held = stored(items.select("item", "price", words(F.col("name")).alias("held")), "item-words")
-    postings = held.select("item", "price", "held", F.explode("held").alias("x"))
+    # items of one name are met once, as the first of them; of each such class no more than `most` can be asked for
+    members = stored(first_members(items.where("name IS NOT NULL").select(F.col("item").alias("id"), "price", "name"), ["name"], [F.col("id")], most), "item-members")
+    held = stored(members.where("place = 1").select(F.col("id").alias("item"), "name", words(F.col("name")).alias("held")), "item-words")
+    postings = held.select("item", "name", "held", F.explode("held").alias("x"))
     often = postings.groupBy("x").agg(F.count(F.lit(1)).alias("often"))
     first = _rarest(asked, ["text"], "asked", often, F.lit(1)).join(asked, "text")
     met = first.join(postings, "x").where(F.size(F.array_except("asked", "held")) == 0)
-    met = met.select("text", "item", "price", (F.size("asked") / F.size("held")).alias("score"))
+    met = met.select("text", "item", "name", (F.size("asked") / F.size("held")).alias("score"))
     place = F.row_number().over(Window.partitionBy("text").orderBy(F.desc("score"), "item")) - 1
-    best = met.withColumn("position", place).where(F.col("position") < most)
+    best = met.withColumn("position", place).where(F.col("position") < most).select("text", "name", "score").join(members.select("name", F.col("id").alias("item"), "price"), "name")
+    best = best.withColumn("position", place).where(F.col("position") < most)
     return best.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("position", "item", "score", "price"))).alias("hits"))
 
 
